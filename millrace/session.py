@@ -32,3 +32,9 @@ def cut(df: DataFrame) -> DataFrame:
     """Compute `df` once and keep it in the shared folder, so that a lost executor costs no recomputation."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """`df`, on as many partitions as there are cores if it comes in fewer (a few small files); else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
