@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import bktree, bpe, canon, leak
+from millrace.session import spread
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -54,15 +55,15 @@ def p4_unmatched(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
-    return bpe.encode(_table(spark, d, "documents"))
+    return bpe.encode(spread(_table(spark, d, "documents").select("doc_id", "text")))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return leak.leaked_passages(_table(spark, d, "documents"), _table(spark, d, "eval_items")).select("doc_id", "item_id")
+    return leak.leaked_passages(spread(_table(spark, d, "documents").select("doc_id", "text")), _table(spark, d, "eval_items")).select("doc_id", "item_id")
 
 
 def p7_items(spark: SparkSession, d: str) -> DataFrame:
-    found = leak.leaked_passages(_table(spark, d, "documents"), _table(spark, d, "eval_items"))
+    found = leak.leaked_passages(spread(_table(spark, d, "documents").select("doc_id", "text")), _table(spark, d, "eval_items"))
     return found.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_documents"), F.max("n_words").alias("most_words"))
 
 

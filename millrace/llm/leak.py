@@ -31,11 +31,12 @@ def words(text: Column) -> Column:
     return F.filter(F.split(packed, " "), lambda w: w != "")
 
 
-def longest_passage(item: list[int] | np.ndarray, found: list[int] | np.ndarray, per: int) -> tuple[int, int, int, int]:
+def longest_passage(item: list[int] | np.ndarray, found: list[int] | np.ndarray, per: int, least: int = 1) -> tuple[int, int, int, int]:
     """(item words, first item word, first and last place in `found`) of the longest passage of `item` in `found`.
 
     A passage is a stretch of an alignment in which at most one word in `per` is altered, dropped or added.
-    The alignment is local: a match earns 1, an edit costs 2. (0, 0, 0, 0) if no word is shared.
+    At least `least` of its words are unaltered. The alignment is local: a match earns 1, an edit costs 2.
+    (0, 0, 0, 0) if there is no such passage.
     """
     a, b = np.asarray(item, np.int64), np.asarray(found, np.int64)
     n, m = len(a), len(b)
@@ -70,22 +71,49 @@ def longest_passage(item: list[int] | np.ndarray, found: list[int] | np.ndarray,
     hits = np.array([x[0] for x in steps])
     weight = np.append(0, np.cumsum(np.where(hits == 1, 1, 1 - per)))
     covered = np.append(0, np.cumsum([x[1] for x in steps]))
-    ok = (weight[None, :] >= weight[:, None]) & (np.arange(len(weight))[None, :] > np.arange(len(weight))[:, None])
+    same = np.append(0, np.cumsum(hits))
+    ok = (weight[None, :] >= weight[:, None]) & (same[None, :] - same[:, None] >= least) & (np.arange(len(weight))[None, :] > np.arange(len(weight))[:, None])
     length = np.where(ok, covered[None, :] - covered[:, None], 0)
     s, e = np.unravel_index(int(length.argmax()), length.shape)
     return int(length[s, e]), int(at[s][0]), int(at[s][1]), int(at[e - 1][1])
 
 
+def may_hold(item: np.ndarray, found: np.ndarray, low: int, high: int, span: int, edits: int) -> bool:
+    """Whether some `span` words of the item have all but `edits` of them in `found`, at offsets within `edits`.
+
+    Looks at the offsets from `low` to `high`. Never false where `longest_passage` finds a passage there.
+    """
+    low, high = low - edits, high + edits
+    n, wide = len(item), high - low + 1
+    padded = np.full(n + wide, -2, np.int64)
+    a, b = max(0, low), min(len(found), low + n + wide)
+    if b <= a:
+        return False
+    padded[a - low : b - low] = found[a:b]
+    met = np.lib.stride_tricks.sliding_window_view(padded, wide)[:n] == item[:, None]
+    near = met.copy()
+    for k in range(1, edits + 1):
+        near[:, k:] |= met[:, :-k]
+    total = np.vstack([np.zeros((1, wide), np.int64), np.cumsum(near, axis=0)])
+    span = min(span, n)
+    return bool((total[span:] - total[:-span]).max() >= span - edits)
+
+
+def _grams(w: list[str]) -> list[str]:
+    return [f"{a} {b}" for a, b in zip(w, w[1:])]
+
+
 def _seeds(items: list[tuple[int, list[str]]], frequency: dict[str, int], span: int, picks: int) -> dict[str, list[tuple[int, int]]]:
-    """Term -> (item, place) of the `picks` rarest terms of every `span` consecutive words, of terms the corpus has."""
+    """Term -> (item, place) of the `picks` rarest terms of every `span` consecutive ones, of terms the corpus has."""
     out: dict[str, list[tuple[int, int]]] = defaultdict(list)
     for item, ws in items:
+        terms = _grams(ws)
         chosen: set[int] = set()
-        for start in range(max(1, len(ws) - span + 1)):
-            there = [p for p in range(start, min(len(ws), start + span)) if frequency.get(ws[p], 0) > 0]
-            chosen.update(sorted(there, key=lambda p: (frequency[ws[p]], ws[p], p))[:picks])
+        for start in range(max(1, len(terms) - span + 1)):
+            there = [p for p in range(start, min(len(terms), start + span)) if frequency.get(terms[p], 0) > 0]
+            chosen.update(sorted(there, key=lambda p: (frequency[terms[p]], terms[p], p))[:picks])
         for p in sorted(chosen):
-            out[ws[p]].append((item, p))
+            out[terms[p]].append((item, p))
     return out
 
 
@@ -94,23 +122,25 @@ def leaked_passages(
 ) -> DataFrame:
     """doc_id, item_id, n_words, item_word, first_word, last_word: each document that repeats a passage of an item.
 
-    A passage is `least` or more words of an item in sequence, of which at most one in `per` is altered, dropped or
-    added (1 for exact phrases only: `per` above `least`). One row per document and item, for its longest passage;
+    A passage is a stretch of an item of which the document has `least` or more words in sequence; of the stretch's
+    words at most one in `per` is altered, dropped or added (with `per` above `least`: none in any `least` words). One row per document and item, for its longest passage;
     item_word, first_word and last_word number the words of the item and of the document from 0. Rows whose key or
     text is null, and texts without words, are in no result. Repeated documents are reported each. An item with
     fewer than `least` words is in no result.
 
-    Index: postings (term, document, place) of the corpus, of the terms a passage can be found by. In every stretch
-    of an item as long as a shortest passage's unedited part, those are the `picks` rarest terms by document
-    frequency, counted over the whole corpus. k edits spoil at most k of them, so the others keep their offset
-    (place in the document less place in the item) within k of each other. Postings are intersected by offset:
-    a band of offsets with at least picks - k different terms is a candidate, and only candidates are aligned.
+    Index: postings (term, document, place) of the corpus; a term is a pair of neighbouring words. Stored are those
+    of the terms a passage can be found by: in every stretch of an item as long as a shortest passage's part with
+    at most `edits` changes, the `picks` rarest terms by document frequency, counted over the whole corpus. A change
+    spoils at most two terms, so the others keep their offset (place in the document less place in the item) within
+    `edits` of each other. Postings are intersected by offset: where picks - 2 x edits different terms of one stretch
+    meet near one offset there's a candidate. Candidates whose words can't make a passage at those offsets are
+    dropped by a bound, and the rest are aligned.
     """
     edits = least // per
-    span, picks = least - edits, edits + 3
-    need = picks - edits
+    span, picks = least - edits, 2 * edits + 4
+    need = picks - 2 * edits
     kind, item_kind = documents.schema[doc].dataType.simpleString(), items.schema[item].dataType.simpleString()
-    corpus = documents.select(F.col(f"`{doc}`").alias("d"), words(F.col(f"`{text}`")).alias("w")).filter("d IS NOT NULL AND size(w) > 0")
+    corpus = documents.select(F.col(f"`{doc}`").alias("d"), words(F.col(f"`{text}`")).alias("w")).filter("d IS NOT NULL")
     asked = items.select(F.col(f"`{item}`").alias("i"), words(F.col(f"`{item_text}`")).alias("w")).filter(f"i IS NOT NULL AND size(w) >= {least}")
     blocks = asked.selectExpr("*", f"cast((row_number() OVER (ORDER BY i) - 1) div {ITEMS_AT_ONCE} AS int) AS block")
     n_blocks = (blocks.agg(F.max("block")).first()[0] or 0) + 1
@@ -124,26 +154,24 @@ def leaked_passages(
 
 def _leaks_of(corpus: DataFrame, items: list[tuple[int, list[str]]], least, per, span, picks, need, edits, kind, item_kind) -> DataFrame:
     spark = corpus.sparkSession
-    vocabulary = sorted({w for _, ws in items for w in ws})
-    terms = spark.createDataFrame([(w,) for w in vocabulary], "t string")
-    seen = corpus.select(F.explode(F.array_distinct("w")).alias("t")).join(F.broadcast(terms), "t").groupBy("t").count()
-    frequency = {r[0]: r[1] for r in seen.collect()}  # at most one row per word of the items
-    seeds = _seeds(items, frequency, span, picks)
-    listed = spark.createDataFrame([(t, i, p) for t, at in seeds.items() for i, p in at], f"t string, i {item_kind}, q int")
-    wanted = spark.createDataFrame([(t,) for t in seeds], "t string")
-    postings = corpus.select("d", F.posexplode("w").alias("p", "t")).join(F.broadcast(wanted), "t")
+    vocabulary = sorted({w for _, ws in items for w in _grams(ws)})
+    terms = spark.createDataFrame([(w,) for w in vocabulary], "t string").select(F.xxhash64("t").alias("h"), "t")
+    hashed = corpus.select("d", F.expr("zip_with(w, slice(w, 2, greatest(size(w), 1)), (x, y) -> xxhash64(concat(x, ' ', y)))").alias("h"))
+    # the outer forms of explode: from the others the optimizer derives a filter that computes the words again
+    seen = hashed.select(F.explode_outer(F.array_distinct("h")).alias("h")).join(F.broadcast(terms), "h").groupBy("t").count()
+    frequency = {r[0]: r[1] for r in seen.collect()}  # at most one row per term of the items
+    seeds = _seeds(items, frequency, span - 1, picks)
+    listed = spark.createDataFrame([(t, i, p) for t, at in seeds.items() for i, p in at], f"t string, i {item_kind}, q int").select(F.xxhash64("t").alias("h"), "i", "q")
+    postings = hashed.select("d", F.posexplode_outer("h").alias("p", "h"))
     # two grids of bands, one shifted by half a band: offsets within `edits` of each other share a band of one grid
     band = 8 * (edits + 1)
-    offset = F.col("p") - F.col("q")
     bands = F.array(*[F.struct(F.lit(g).alias("g"), F.expr(f"cast(floor((p - q + {g * band // 2}) / {band}) AS int)").alias("b")) for g in (0, 1)])
-    met = postings.join(F.broadcast(listed), "t").select("d", "i", "q", offset.alias("o"), F.explode(bands).alias("k"))
-    # as many bits as there are different places, 64 at a time; combined before the shuffle
-    near = (
-        met.groupBy("d", "i", "k", (F.col("q") / 40).cast("int").alias("part"))
-        .agg(F.expr("bit_or(shiftleft(1L, q % 40))").alias("bits"), F.min("o").alias("lo"), F.max("o").alias("hi"))
-        .groupBy("d", "i", "k").agg(F.sum(F.bit_count("bits")).alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-        .filter(F.col("n") >= need).select("d", "i", "lo", "hi")
-    )
+    met = postings.join(F.broadcast(listed), "h").select("d", "i", "q", "p", F.explode(bands).alias("k"))
+    hits = met.groupBy("d", "i", "k").agg(F.collect_list(F.struct("q", "p")).alias("a")).filter(F.size("a") >= need)
+    chain = f"""exists(a, x -> size(array_distinct(transform(filter(a, y -> y.q >= x.q AND y.q < x.q + {span - 1}
+        AND abs((y.p - y.q) - (x.p - x.q)) <= {edits}), y -> y.q))) >= {need})"""
+    offsets = F.transform("a", lambda x: x["p"] - x["q"])
+    near = hits.filter(F.expr(chain)).select("d", "i", F.array_min(offsets).alias("lo"), F.array_max(offsets).alias("hi"))
     candidates = cut(near.groupBy("d").agg(F.collect_list(F.struct("i", "lo", "hi")).alias("c")))
     sent = spark.sparkContext.broadcast({i: ws for i, ws in items})
 
@@ -155,21 +183,15 @@ def _leaks_of(corpus: DataFrame, items: list[tuple[int, list[str]]], least, per,
                 coded = np.fromiter((number.setdefault(w, len(number)) for w in ws), np.int64, len(ws))
                 best: dict[int, tuple] = {}
                 spans: dict[int, list[tuple[int, int]]] = defaultdict(list)
+                asked = {i: np.fromiter((number.get(w, -1) for w in sent.value[i]), np.int64) for i in {c["i"] for c in cs}}
                 for c in cs:
-                    n = len(sent.value[c["i"]])
-                    slack = edits + n // per
-                    spans[c["i"]].append((max(0, c["lo"] - slack), min(len(ws), c["hi"] + n + slack)))
+                    v = asked[c["i"]]
+                    if may_hold(v, coded, c["lo"], c["hi"], span, edits):
+                        slack = edits + len(v) // per
+                        spans[c["i"]].append((max(0, c["lo"] - slack), min(len(ws), c["hi"] + len(v) + slack)))
                 for i, areas in spans.items():
-                    v = np.fromiter((number.get(w, -1) for w in sent.value[i]), np.int64)
-                    areas.sort()
-                    merged: list[list[int]] = []
-                    for a, b in areas:
-                        if merged and a <= merged[-1][1] and b <= merged[-1][0] + 3 * len(v) + 200:
-                            merged[-1][1] = max(merged[-1][1], b)
-                        else:
-                            merged.append([a, b])
-                    for a, b in merged:
-                        length, q, first, last = longest_passage(v, coded[a:b], per)
+                    for a, b in dict.fromkeys(areas):
+                        length, q, first, last = longest_passage(asked[i], coded[a:b], per, least)
                         if length >= least and length > best.get(i, (0,))[0]:
                             best[i] = (length, q, first + a, last + a)
                 out += [(d, i, *x) for i, x in best.items()]
