@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bktree, bpe, canon, leak
+from millrace.llm import bktree, bpe, canon, leak, truncation
 from millrace.session import spread
 
 
@@ -67,7 +67,18 @@ def p7_items(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_documents"), F.max("n_words").alias("most_words"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_copies, p1_object_copies, p4_found, p4_unmatched, p6_ids, p7_found, p7_items)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.truncated(spread(_table(spark, d, "documents").select("doc_id", "text", "source"))).filter("truncated").select("doc_id")
+
+
+def p8_sources(spark: SparkSession, d: str) -> DataFrame:
+    judged = truncation.truncated(spread(_table(spark, d, "documents").select("doc_id", "text", "source")))
+    return judged.groupBy("source").agg(
+        F.count(F.lit(1)).alias("n_documents"), F.count_if("truncated").alias("n_truncated"), F.round(F.avg(F.col("truncated").cast("double")), 6).alias("truncated_rate")
+    )
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_copies, p1_object_copies, p4_found, p4_unmatched, p6_ids, p7_found, p7_items, p8_found, p8_sources)}
 
 _CANON = r"translate(regexp_replace(lower(upper({0})), '[^\p{{L}}\p{{N}}]', '', 'g'), 'ς', 'σ')"
 
