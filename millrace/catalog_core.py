@@ -188,12 +188,12 @@ def scalar_catalog_integer(spark, d):
     return t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", o["add"](a, b).alias("a"), o["subtract"](a, b).alias("s"), o["multiply"](a, F.lit(2).cast("bigint")).alias("m"), F.round(o["divide"](a, z), 6).alias("q"), o["modulo"](a, z).alias("r"))
 
 
-@query("""SELECT c_custkey, round(c_acctbal, 0) AS r, floor(c_acctbal)::BIGINT AS f, ceil(c_acctbal)::BIGINT AS c, round(c_acctbal / nullif(c_nationkey, 0), 4) AS q,
+@query("""SELECT c_custkey, round(c_acctbal, 0) AS r, floor(c_acctbal)::BIGINT AS f, ceil(c_acctbal)::BIGINT AS c, floor(c_acctbal / nullif(c_nationkey, 0))::BIGINT AS q,
   (c_acctbal > 0) AND (c_nationkey > 10) AS b1, NOT (c_acctbal > 0) AS b2, (c_acctbal > 0) OR (c_nationkey > 10) AS b3 FROM customer""")
 def scalar_catalog_double_boolean(spark, d):
     o, b, c = X.OPERATIONS["Double"], X.OPERATIONS["Boolean"], F.col("c_acctbal")
     p, q = c > 0, F.col("c_nationkey") > 10
-    return t(spark, d, "customer").select("c_custkey", o["round"](c, 0).alias("r"), o["floor"](c).alias("f"), o["ceil"](c).alias("c"), F.round(o["divide"](c, F.col("c_nationkey").cast("double")), 4).alias("q"), b["and"](p, q).alias("b1"), b["not"](p).alias("b2"), b["or"](p, q).alias("b3"))
+    return t(spark, d, "customer").select("c_custkey", o["round"](c, 0).alias("r"), o["floor"](c).alias("f"), o["ceil"](c).alias("c"), F.floor(o["divide"](c, F.col("c_nationkey").cast("double"))).alias("q"), b["and"](p, q).alias("b1"), b["not"](p).alias("b2"), b["or"](p, q).alias("b3"))
 
 
 _PHONE = "CASE WHEN c_custkey % 3 = 0 THEN '12-34' ELSE '+1 (' || (200 + c_custkey % 700)::VARCHAR || ') 555-' || lpad((c_custkey % 10000)::VARCHAR, 4, '0') END"
@@ -599,7 +599,7 @@ def _runs(spark, d) -> DataFrame:
     return t(spark, d, "events").select(F.col("user_id").cast("string").alias("pipeline"), F.when(F.col("event_type") == "error", "validation_failed").otherwise("success").alias("status"), F.col("ts").alias("at"), "event_id", F.col("value").alias("seconds"), F.col("event_id").alias("rows"))
 
 
-_RUNS = "(SELECT user_id::VARCHAR AS pipeline, CASE WHEN event_type = 'error' THEN 'validation_failed' ELSE 'success' END AS status, ts AS "at", event_id, value AS seconds, event_id AS "rows" FROM events)"
+_RUNS = "(SELECT user_id::VARCHAR AS pipeline, CASE WHEN event_type = 'error' THEN 'validation_failed' ELSE 'success' END AS status, ts AS \"at\", event_id, value AS seconds, event_id AS \"rows\" FROM events)"
 
 
 @query(f"""SELECT pipeline, count(*) AS total_runs, count(*) FILTER (WHERE status = 'success') AS successes, count(*) FILTER (WHERE status <> 'success') AS failures,
