@@ -45,7 +45,7 @@ def canonical_text(text: Column) -> Column:
 
     marked = F.when(text.rlike(r"\p{M}|[ᄀ-ᇿΩKÅ豈-﫿]"), text)
     whole = F.coalesce(composed(marked), text)
-    return F.translate(F.regexp_replace(F.lower(F.upper(whole)), r"[^\p{L}\p{N}]", ""), "ς", "σ")
+    return F.translate(F.regexp_replace(F.replace(F.lower(F.upper(whole)), F.lit("ß"), F.lit("ss")), r"[^\p{L}\p{N}]", ""), "ς", "σ")
 
 
 def _unescape(raw: str) -> str:

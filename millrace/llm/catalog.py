@@ -80,7 +80,7 @@ def p8_sources(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_copies, p1_object_copies, p4_found, p4_unmatched, p6_ids, p7_found, p7_items, p8_found, p8_sources)}
 
-_CANON = r"translate(regexp_replace(lower(upper({0})), '[^\p{{L}}\p{{N}}]', '', 'g'), 'ς', 'σ')"
+_CANON = r"translate(regexp_replace(replace(lower(upper({0})), 'ß', 'ss'), '[^\p{{L}}\p{{N}}]', '', 'g'), 'ς', 'σ')"
 
 ORACLES = {
     "p1_copies": " UNION ALL ".join(
