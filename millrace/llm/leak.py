@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from millrace.session import cut
 
-#: Items searched for at once. What is broadcast depends on the items of one block alone, never on the corpus.
-ITEMS_AT_ONCE = 5000
+#: Words of the items searched for at once (one longer item is a block by itself). What is broadcast or collected
+#: depends on the items of one block alone, never on the corpus.
+WORDS_AT_ONCE = 500_000
 
 _ACCENTED = "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿœæ"
 _PLAIN = "aaaaaaceeeeiiiinoooooouuuuyyoa"
@@ -136,16 +137,17 @@ def leaked_passages(
     meet near one offset there's a candidate. Candidates whose words can't make a passage at those offsets are
     dropped by a bound, and the rest are aligned.
     """
-    edits = least // per
-    span, picks = least - edits, 2 * edits + 4
+    # a passage of least to 4 * per - 1 words has up to 3 changes (at per = 8), possibly all in one place; a longer one
+    # has a stretch with no more
+    edits = least // per + 1
+    span, picks = least - edits + 1, 2 * edits + 4
     need = picks - 2 * edits
     kind, item_kind = documents.schema[doc].dataType.simpleString(), items.schema[item].dataType.simpleString()
     corpus = documents.select(F.col(f"`{doc}`").alias("d"), words(F.col(f"`{text}`")).alias("w")).filter("d IS NOT NULL")
     asked = items.select(F.col(f"`{item}`").alias("i"), words(F.col(f"`{item_text}`")).alias("w")).filter(f"i IS NOT NULL AND size(w) >= {least}")
-    blocks = asked.selectExpr("*", f"cast((row_number() OVER (ORDER BY i) - 1) div {ITEMS_AT_ONCE} AS int) AS block")
-    n_blocks = (blocks.agg(F.max("block")).first()[0] or 0) + 1
+    blocks = asked.selectExpr("*", f"cast((sum(size(w)) OVER (ORDER BY i ROWS UNBOUNDED PRECEDING) - 1) div {WORDS_AT_ONCE} AS int) AS block")
     result = None
-    for block in range(n_blocks):
+    for block in [r[0] for r in blocks.select("block").distinct().orderBy("block").collect()] or [0]:
         rows: list[Row] = blocks.filter(F.col("block") == block).select("i", "w").collect()
         one = _leaks_of(corpus, [(r["i"], list(r["w"])) for r in rows], least, per, span, picks, need, edits, kind, item_kind)
         result = one if result is None else result.unionByName(one)
