@@ -100,7 +100,7 @@ class AccessControl:
         if admins == [user] and role != "admin":
             raise ValueError("the last administrator stays one")
         self._roles[user] = role
-        self.audit.log(by, self.role(by), "assign_role", f"user:{user}", role=role)
+        self.audit.log(by, self.role(by), "assign_role", f"user:{user}", new_role=role)
 
     def summary(self) -> dict:
         return {"users": dict(sorted(self._roles.items())), "roles": {r: sorted(p) for r, p in ROLES.items()}}
