@@ -254,9 +254,9 @@ def map_to_canonical(spark: SparkSession, rows: DataFrame, key: str, fields: Seq
     long = rows.select(
         F.col(f"`{key}`").alias("record_index"), F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f"`{f}`").cast("string").alias("value")) for f in fields])).alias("x")
     ).select("record_index", "x.field_name", "x.value").filter("value IS NOT NULL")
-    free = long.join(entries, ["field_name", "value"], "left_anti").withColumn("k", F.concat_ws("\x1f", "field_name", "value"))
+    free = long.join(entries, ["field_name", "value"], "left_anti").withColumn("k", F.unhex(F.md5(F.concat_ws("\x1f", "field_name", "value"))))
     distinct = cut(free.groupBy("field_name", "value").agg(F.count(F.lit(1)).alias("n")))
     tasks = max(spark.sparkContext.defaultParallelism, distinct.rdd.getNumPartitions())
     mapped = cut(map_values(spark, distinct.select("field_name", "value"), reference, tasks))
-    states = distinct.join(mapped, ["field_name", "value"], "left").select(F.concat_ws("\x1f", "field_name", "value").alias("k"), F.coalesce("canonical_id", F.lit(-1).cast("bigint")).alias("canonical_id"), "n")
+    states = distinct.join(mapped, ["field_name", "value"], "left").select(F.unhex(F.md5(F.concat_ws("\x1f", "field_name", "value"))).alias("k"), F.coalesce("canonical_id", F.lit(-1).cast("bigint")).alias("canonical_id"), "n")
     return hot_split_join(free, states, "k", "n").select("record_index", "field_name", "value", "canonical_id")
