@@ -7,6 +7,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
@@ -26,10 +28,11 @@ def words(text: Column) -> Column:
     A word is what stands between white space, reduced to its letters and digits; tags and character references
     count as white space. null gives null, a text without words an empty array.
     """
-    plain = F.regexp_replace(F.lower(text), r"<[^<>]{1,200}>|&(?:[a-z]{2,8}|#\d{1,6});|\]\([^()\s]{1,300}\)", " ")
-    plain = F.translate(F.regexp_replace(plain, r"\p{M}", ""), _ACCENTED, _PLAIN)
-    packed = F.regexp_replace(F.regexp_replace(plain, r"[^\p{L}\p{N}\s\p{Z}]", ""), r"[\s\p{Z}]+", " ")
-    return F.filter(F.split(packed, " "), lambda w: w != "")
+    lower = F.lower(text)
+    marked = F.regexp_replace(lower, r"<[^<>]{1,200}>|&(?:[a-z]{2,8}|#\d{1,6});|\]\([^()\s]{1,300}\)", " ")
+    plain = F.when(lower.contains("<") | lower.contains("&") | lower.contains("]("), marked).otherwise(lower)
+    packed = F.regexp_replace(F.translate(plain, _ACCENTED, _PLAIN), r"[^\p{L}\p{N}\s\p{Z}]+", "")
+    return F.filter(F.split(packed, r"[\s\p{Z}]+"), lambda w: w != "")
 
 
 def longest_passage(item: list[int] | np.ndarray, found: list[int] | np.ndarray, per: int, least: int = 1) -> tuple[int, int, int, int]:
@@ -79,25 +82,41 @@ def longest_passage(item: list[int] | np.ndarray, found: list[int] | np.ndarray,
     return int(length[s, e]), int(at[s][0]), int(at[s][1]), int(at[e - 1][1])
 
 
-def may_hold(item: np.ndarray, found: np.ndarray, low: int, high: int, span: int, edits: int) -> bool:
-    """Whether some `span` words of the item have all but `edits` of them in `found`, at offsets within `edits`.
+def offsets_that_may_hold(item: np.ndarray, found: np.ndarray, low: int, high: int, span: int, edits: int) -> list[tuple[int, int]]:
+    """Ranges of offsets at which some `span` words of the item have all but `edits` of them in `found`.
 
-    Looks at the offsets from `low` to `high`. Never false where `longest_passage` finds a passage there.
+    A word counts if it's at an offset of the range's neighbourhood, up to `edits` beyond. Looks from `low` to `high`.
+    Never empty where `longest_passage` finds a passage there.
     """
     low, high = low - edits, high + edits
     n, wide = len(item), high - low + 1
-    padded = np.full(n + wide, -2, np.int64)
+    padded = np.full(n + wide, -2, np.int32)
     a, b = max(0, low), min(len(found), low + n + wide)
     if b <= a:
-        return False
+        return []
     padded[a - low : b - low] = found[a:b]
     met = np.lib.stride_tricks.sliding_window_view(padded, wide)[:n] == item[:, None]
     near = met.copy()
     for k in range(1, edits + 1):
         near[:, k:] |= met[:, :-k]
-    total = np.vstack([np.zeros((1, wide), np.int64), np.cumsum(near, axis=0)])
+    total = np.zeros((n + 1, wide), np.int16)
+    np.cumsum(near, axis=0, dtype=np.int16, out=total[1:])
     span = min(span, n)
-    return bool((total[span:] - total[:-span]).max() >= span - edits)
+    good = np.flatnonzero((total[span:] - total[:-span]).max(axis=0) >= span - edits)
+    if not len(good):
+        return []
+    groups = np.split(good, np.flatnonzero(np.diff(good) > 2 * edits + 1) + 1)
+    return [(low + int(g[0]) - edits, low + int(g[-1])) for g in groups]
+
+
+def _merged(ranges: list[tuple[int, int]], gap: int) -> list[list[int]]:
+    out: list[list[int]] = []
+    for a, b in sorted(ranges):
+        if out and a <= out[-1][1] + gap:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return out
 
 
 def _grams(w: list[str]) -> list[str]:
@@ -118,6 +137,97 @@ def _seeds(items: list[tuple[int, list[str]]], frequency: dict[str, int], span:
     return out
 
 
+def seeds_hashed(spark, seeds: dict[str, list[tuple[int, int]]]) -> dict[int, list[tuple[int, int]]]:
+    """The seeds by the JVM's hash of their terms, as it's in the documents' postings."""
+    named = spark.createDataFrame([(t,) for t in seeds], "t string").select("t", F.xxhash64("t"))
+    out: dict[int, list[tuple[int, int]]] = defaultdict(list)
+    for t, h in named.collect():
+        out[h] += seeds[t]
+    return out
+
+
+class SeedIndex:
+    """The seeds' terms in order, each with its items and places, and the intersection with documents' postings."""
+
+    def __init__(self, seeds: dict[int, list[tuple[int, int]]], span: int, edits: int, need: int):
+        self.span, self.edits, self.need = span, edits, need
+        self.items = sorted({i for at in seeds.values() for i, _ in at})
+        number = {i: k for k, i in enumerate(self.items)}
+        terms = sorted(seeds)
+        self.terms = np.array(terms, np.int64)
+        self.counts = np.array([len(seeds[t]) for t in terms], np.int64)
+        self.first = np.append(0, np.cumsum(self.counts))[:-1]
+        self.item = np.array([number[i] for t in terms for i, _ in seeds[t]], np.int64)
+        self.place = np.array([q for t in terms for _, q in seeds[t]], np.int64)
+
+    def postings(self, values: np.ndarray, doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(which term, document, place) of the words pairs that are seeds."""
+        if not len(self.terms):
+            return (np.zeros(0, np.int64),) * 3
+        at = np.minimum(np.searchsorted(self.terms, values), len(self.terms) - 1)
+        hit = np.flatnonzero(self.terms[at] == values)
+        return at[hit], doc[hit], place[hit]
+
+    def candidates(self, term: np.ndarray, doc: np.ndarray, place: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(document, item, lowest and highest offset) wherever `need` different seeds of one stretch meet near one offset.
+
+        Offsets fall into bands and the item's places into cells, each on two grids of which one is shifted by half a
+        width: offsets within `edits` of each other share a band, and places of one stretch a cell, on one grid of each.
+        """
+        n = self.counts[term]
+        row = np.repeat(np.arange(len(term)), n)
+        entry = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.first[term], n)
+        d, i, q = doc[row], self.item[entry], self.place[entry]
+        o = place[row] - q
+        band, cell = 2 * (self.edits + 1), 2 * self.span
+        for g in (0, 1):
+            for h in (0, 1):
+                b, c = (o + g * band // 2) // band, (q + h * self.span) // cell
+                order = np.lexsort((q, c, b, i, d))
+                ds, bs, cs, is_, qs, os = d[order], b[order], c[order], i[order], q[order], o[order]
+                same = (ds[1:] == ds[:-1]) & (is_[1:] == is_[:-1]) & (bs[1:] == bs[:-1]) & (cs[1:] == cs[:-1])
+                starts = np.flatnonzero(np.append(True, ~same)) if len(ds) else np.zeros(0, np.int64)
+                if not len(starts):
+                    continue
+                fresh = np.append(True, ~(same & (qs[1:] == qs[:-1])))
+                enough = np.add.reduceat(fresh.astype(np.int64), starts) >= self.need
+                low, high = np.minimum.reduceat(os, starts)[enough], np.maximum.reduceat(os, starts)[enough]
+                yield from zip(ds[starts][enough].tolist(), is_[starts][enough].tolist(), low.tolist(), high.tolist())
+
+
+#: Postings that are intersected at once; bounds a task's memory.
+POSTINGS_AT_ONCE = 200_000
+
+
+def _intersect(shared, item_kind: str):
+    kinds = {"string": pa.string(), "int": pa.int32(), "smallint": pa.int16(), "tinyint": pa.int8()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared.value
+        for batch in batches:
+            lists = batch.column(1)
+            values = lists.flatten().fill_null(0).to_numpy(zero_copy_only=False)  # the last word has no pair
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            doc = np.repeat(np.arange(len(sizes)), sizes)
+            place = np.arange(len(doc)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            term, doc, place = index.postings(values, doc, place)
+            keys = batch.column(0)
+            out: list[tuple[int, int, int, int]] = []
+            at = 0
+            while at < len(doc):  # whole documents at a time
+                end = min(len(doc), at + POSTINGS_AT_ONCE)
+                end = len(doc) if end == len(doc) else max(int(np.searchsorted(doc, doc[end], "left")), 0)
+                end = end if end > at else int(np.searchsorted(doc, doc[at], "right"))
+                out += index.candidates(term[at:end], doc[at:end], place[at:end])
+                at = end
+            yield pa.RecordBatch.from_arrays(
+                [keys.take(pa.array([x[0] for x in out], pa.int64())), pa.array([index.items[x[1]] for x in out], kinds.get(item_kind, pa.int64())), pa.array([x[2] for x in out], pa.int32()), pa.array([x[3] for x in out], pa.int32())],
+                names=["d", "i", "lo", "hi"],
+            )
+
+    return run
+
+
 def leaked_passages(
     documents: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", least: int = 20, per: int = 8
 ) -> DataFrame:
@@ -129,8 +239,8 @@ def leaked_passages(
     text is null, and texts without words, are in no result. Repeated documents are reported each. An item with
     fewer than `least` words is in no result.
 
-    Index: postings (term, document, place) of the corpus; a term is a pair of neighbouring words. Stored are those
-    of the terms a passage can be found by: in every stretch of an item as long as a shortest passage's part with
+    Index: positional postings (term, document, place) of the corpus, partitioned by document; a term is a pair of
+    neighbouring words. Kept are those of the terms a passage can be found by: in every stretch of an item as long as a shortest passage's part with
     at most `edits` changes, the `picks` rarest terms by document frequency, counted over the whole corpus. A change
     spoils at most two terms, so the others keep their offset (place in the document less place in the item) within
     `edits` of each other. Postings are intersected by offset: where picks - 2 x edits different terms of one stretch
@@ -140,7 +250,7 @@ def leaked_passages(
     # a passage of least to 4 * per - 1 words has up to 3 changes (at per = 8), possibly all in one place; a longer one
     # has a stretch with no more
     edits = least // per + 1
-    span, picks = least - edits + 1, 2 * edits + 4
+    span, picks = least - edits + 1, 2 * edits + 6
     need = picks - 2 * edits
     kind, item_kind = documents.schema[doc].dataType.simpleString(), items.schema[item].dataType.simpleString()
     corpus = documents.select(F.col(f"`{doc}`").alias("d"), words(F.col(f"`{text}`")).alias("w")).filter("d IS NOT NULL")
@@ -163,17 +273,9 @@ def _leaks_of(corpus: DataFrame, items: list[tuple[int, list[str]]], least, per,
     seen = hashed.select(F.explode_outer(F.array_distinct("h")).alias("h")).join(F.broadcast(terms), "h").groupBy("t").count()
     frequency = {r[0]: r[1] for r in seen.collect()}  # at most one row per term of the items
     seeds = _seeds(items, frequency, span - 1, picks)
-    listed = spark.createDataFrame([(t, i, p) for t, at in seeds.items() for i, p in at], f"t string, i {item_kind}, q int").select(F.xxhash64("t").alias("h"), "i", "q")
-    postings = hashed.select("d", F.posexplode_outer("h").alias("p", "h"))
-    # two grids of bands, one shifted by half a band: offsets within `edits` of each other share a band of one grid
-    band = 8 * (edits + 1)
-    bands = F.array(*[F.struct(F.lit(g).alias("g"), F.expr(f"cast(floor((p - q + {g * band // 2}) / {band}) AS int)").alias("b")) for g in (0, 1)])
-    met = postings.join(F.broadcast(listed), "h").select("d", "i", "q", "p", F.explode(bands).alias("k"))
-    hits = met.groupBy("d", "i", "k").agg(F.collect_list(F.struct("q", "p")).alias("a")).filter(F.size("a") >= need)
-    chain = f"""exists(a, x -> size(array_distinct(transform(filter(a, y -> y.q >= x.q AND y.q < x.q + {span - 1}
-        AND abs((y.p - y.q) - (x.p - x.q)) <= {edits}), y -> y.q))) >= {need})"""
-    offsets = F.transform("a", lambda x: x["p"] - x["q"])
-    near = hits.filter(F.expr(chain)).select("d", "i", F.array_min(offsets).alias("lo"), F.array_max(offsets).alias("hi"))
+    index = SeedIndex(seeds_hashed(spark, seeds), span, edits, need)
+    shared = spark.sparkContext.broadcast(index)
+    near = hashed.mapInArrow(_intersect(shared, item_kind), f"d {kind}, i {item_kind}, lo int, hi int")
     candidates = cut(near.groupBy("d").agg(F.collect_list(F.struct("i", "lo", "hi")).alias("c")))
     sent = spark.sparkContext.broadcast({i: ws for i, ws in items})
 
@@ -182,20 +284,20 @@ def _leaks_of(corpus: DataFrame, items: list[tuple[int, list[str]]], least, per,
             out = []
             for d, ws, cs in zip(part["d"], part["w"], part["c"]):
                 number: dict[str, int] = {}
-                coded = np.fromiter((number.setdefault(w, len(number)) for w in ws), np.int64, len(ws))
+                coded = np.fromiter((number.setdefault(w, len(number)) for w in ws), np.int32, len(ws))
                 best: dict[int, tuple] = {}
-                spans: dict[int, list[tuple[int, int]]] = defaultdict(list)
-                asked = {i: np.fromiter((number.get(w, -1) for w in sent.value[i]), np.int64) for i in {c["i"] for c in cs}}
+                bands: dict[int, list[tuple[int, int]]] = defaultdict(list)
                 for c in cs:
-                    v = asked[c["i"]]
-                    if may_hold(v, coded, c["lo"], c["hi"], span, edits):
-                        slack = edits + len(v) // per
-                        spans[c["i"]].append((max(0, c["lo"] - slack), min(len(ws), c["hi"] + len(v) + slack)))
-                for i, areas in spans.items():
-                    for a, b in dict.fromkeys(areas):
-                        length, q, first, last = longest_passage(asked[i], coded[a:b], per, least)
-                        if length >= least and length > best.get(i, (0,))[0]:
-                            best[i] = (length, q, first + a, last + a)
+                    bands[c["i"]].append((c["lo"], c["hi"]))
+                for i, ranges in bands.items():
+                    v = np.fromiter((number.get(w, -1) for w in sent.value[i]), np.int32)
+                    slack = edits + len(v) // per
+                    for low, high in _merged(ranges, 4 * edits):
+                        for a, b in offsets_that_may_hold(v, coded, low, high, span, edits):
+                            a, b = max(0, a - slack), min(len(ws), b + len(v) + slack)
+                            length, q, first, last = longest_passage(v, coded[a:b], per, least)
+                            if length >= least and length > best.get(i, (0,))[0]:
+                                best[i] = (length, q, first + a, last + a)
                 out += [(d, i, *x) for i, x in best.items()]
             yield pd.DataFrame(out, columns=["d", "i", "n_words", "item_word", "first_word", "last_word"])
 

@@ -86,4 +86,4 @@ def test_bound_never_drops_a_passage(data):
 
     length, *_ = leak.longest_passage(item, text, 8, 20)
     if length:
-        assert leak.may_hold(np.array(item), np.array(text), -4, 4, 18, 3)
+        assert leak.offsets_that_may_hold(np.array(item), np.array(text), -4, 4, 18, 3)
