@@ -300,6 +300,21 @@ for _how in ("inner", "left", "right", "full"):
     _typed_join(_how)
 
 
+def _whole_join(how: str):
+    """All suppliers and all nations; the nulled keys leave rows without a match on both sides."""
+
+    def run(spark, d):
+        a, b = _nullable_pair(spark, d)
+        return R.join_frames(a, b, [JoinKey("k", "nk")], how).select("s_suppkey", "n_name")
+
+    run.__name__ = f"join_whole_{how}"
+    return query("SELECT s_suppkey, n_name FROM " + _PAIR.format(how=how.upper(), on="k = nk"))(run)
+
+
+for _how in ("inner", "left", "right", "full"):
+    _whole_join(_how)
+
+
 @query("SELECT count(*) AS n, sum(a.l_quantity)::DOUBLE AS q FROM lineitem a JOIN (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_returnflag = 'R') b ON a.l_partkey = b.l_partkey AND a.l_suppkey = b.l_suppkey")
 def join_multi_key(spark, d):
     li = t(spark, d, "lineitem")

@@ -55,6 +55,17 @@ def test_query(spark, con, name):
     assert got == ordered([tuple(plain(r[i]) for i in places) for r in answer.fetchall()])
 
 
+def test_whole_joins_keep_every_supplier_and_nation(spark):
+    keys = {r[0]: r[1] for r in spark.read.parquet(f"{DATA}/supplier.parquet").select("s_suppkey", "s_nationkey").collect()}
+    names = {r[0]: r[1] for r in spark.read.parquet(f"{DATA}/nation.parquet").select("n_nationkey", "n_name").collect()}
+    matched = {(s, names[k]) for s, k in keys.items() if k != 3}
+    left, right = {(s, None) for s, k in keys.items() if k == 3}, {(None, name) for k, name in names.items() if k == 3 or k not in keys.values()}
+    assert matched and left and right
+    for how, rows in (("inner", matched), ("left", matched | left), ("right", matched | right), ("full", matched | left | right)):
+        got = QUERIES[f"join_whole_{how}"](spark, str(DATA)).collect()
+        assert len(got) == len(rows) and {(r.s_suppkey, r.n_name) for r in got} == rows
+
+
 def test_entry_needs_no_llm_package():
     import __spark_entry__ as entry
 
