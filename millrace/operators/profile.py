@@ -1,4 +1,4 @@
-"""Profile of a Parquet table's columns by load: footers first, then dictionaries, then only the chunks that need it."""
+"""Profile of a Parquet table's columns by load: nulls and extrema from footers where they suffice, values counted by dictionary code."""
 
 from __future__ import annotations
 
@@ -14,16 +14,22 @@ EXACT_TEXT_BYTES = 64
 BYTES_PER_TASK = 64 << 20
 
 
-def _open(path: str):
+def _open(path: str, **options):
     import pyarrow.parquet as pq
     from pyarrow import fs
 
     if path.startswith("file:"):
-        return pq.ParquetFile("/" + path[5:].lstrip("/"))
+        return pq.ParquetFile("/" + path[5:].lstrip("/"), **options)
     if "://" in path:
         system, inner = fs.FileSystem.from_uri(path)
-        return pq.ParquetFile(system.open_input_file(inner))
-    return pq.ParquetFile(path)
+        return pq.ParquetFile(system.open_input_file(inner), **options)
+    return pq.ParquetFile(path, **options)
+
+
+def open_coded(path: str):
+    """The Parquet file at `path`, whose text columns are read as their dictionaries and codes."""
+    texts = [f.name for f in _open(path).schema_arrow if pa.types.is_string(f.type) or pa.types.is_large_string(f.type) or pa.types.is_binary(f.type) or pa.types.is_large_binary(f.type)]
+    return _open(path, read_dictionary=texts)
 
 
 def _text(value, unit_scale=None) -> str | None:
@@ -85,8 +91,9 @@ def chunk_statistics(spark: SparkSession, path: str, load: str, columns: Sequenc
 def chunk_values(chunks: DataFrame, load: str, tasks: int) -> DataFrame:
     """The distinct values of each chunk with their numbers of rows: (load, column, value, n, exact).
 
-    `chunks` has path, row_group, column, exact. Where a chunk is dictionary-coded, its dictionary is decoded
-    once and the codes are counted; the rows' values aren't built. A null is a row with a null value.
+    `chunks` has path, row_group, column, load, exact. Every chunk is read, since footers don't tell its values. Of text
+    columns the dictionaries and codes are read and (load, code) counted; the rows' texts aren't built (pages that
+    the writer left without a dictionary get one on reading). Other columns' values are counted as they are. A null is a row with a null value.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,27 +114,27 @@ def chunk_values(chunks: DataFrame, load: str, tasks: int) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 if opened[0] != row["path"]:
-                    opened = (row["path"], _open(row["path"]))
+                    opened = (row["path"], open_coded(row["path"]))
                 kind = opened[1].schema_arrow.field(row["column"]).type if row["column"] in opened[1].schema_arrow.names else None
                 if kind is None:
                     continue
-                import pyarrow.parquet as pq  # noqa: F401
-
                 file = opened[1]
                 picked = [row["column"]] if row["load"] is not None else list(dict.fromkeys([load, row["column"]]))
-                table = file.read_row_group(row["row_group"], columns=picked)
+                table = file.read_row_group(row["row_group"], columns=picked).unify_dictionaries()
                 column = table.column(row["column"]).combine_chunks()
                 if pa.types.is_nested(kind):
                     column = as_text(column)
+                words = None
+                if pa.types.is_dictionary(column.type):
+                    words, column = column.dictionary, column.indices
                 if row["load"] is not None:
-                    if not pa.types.is_dictionary(column.type):
-                        column = column.dictionary_encode(null_encoding="encode") if not pa.types.is_boolean(column.type) else column
                     counts = pc.value_counts(column)
-                    values, n = as_text(counts.field("values")), counts.field("counts").cast(pa.int64())
+                    values, n = counts.field("values"), counts.field("counts").cast(pa.int64())
                     loads = pa.array([row["load"]] * len(n), pa.int64())
                 else:
                     t = pa.table({"l": table.column(load).combine_chunks().cast(pa.int64()), "v": column}).group_by(["l", "v"]).aggregate([([], "count_all")])
-                    values, n, loads = as_text(t.column("v").combine_chunks()), t.column("count_all").combine_chunks().cast(pa.int64()), t.column("l").combine_chunks()
+                    values, n, loads = t.column("v").combine_chunks(), t.column("count_all").combine_chunks().cast(pa.int64()), t.column("l").combine_chunks()
+                values = as_text(values if words is None else words.take(values))
                 yield pa.RecordBatch.from_arrays(
                     [loads, pa.array([row["column"]] * len(n), pa.string()), values, n, pa.array([row["exact"]] * len(n), pa.bool_())],
                     names=["load", "column", "value", "n", "exact"],
@@ -154,8 +161,8 @@ def column_profile(
     an empty table has none either. Nested columns are compared by their text.
 
     Nulls and extrema come from footers wherever a row group holds one load and its statistics are exact; the
-    chunk is read for them only elsewhere. Values are counted chunk by chunk from dictionaries; what leaves a
-    task is each chunk's distinct values with counts, so a frequent value weighs as much as a rare one.
+    chunk's values count for them only elsewhere. Values are counted over all chunks, by dictionary code in text
+    columns; what leaves a task is each chunk's distinct values with counts, so a frequent value weighs as much as a rare one.
     """
     from millrace.session import cut
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators.eager import eager_join_aggregate, frequent_groups
-from millrace.operators.profile import chunk_statistics, column_profile, load_changes
+from millrace.operators.profile import chunk_statistics, column_profile, load_changes, open_coded
 from millrace.operators.skew import hot_split_join
 
 
@@ -106,3 +106,18 @@ def test_changes_between_loads(spark, tmp_path):
     got = {(r.load_id, r.column_name): r for r in load_changes(*column_profile(spark, path, ("subject", "ticket_type"))).collect()}
     assert got[8, "ticket_type"].distribution == pytest.approx(0.5) and got[8, "ticket_type"].prior_load_id == 3
     assert got[8, "subject"].d_null == pytest.approx(0.25) and got[8, "subject"].d_distinct == pytest.approx(0.75)
+
+
+def test_texts_are_counted_by_dictionary_code(spark, tmp_path):
+    rows = [{"load_id": 1 + i % 3, "subject": None if i % 7 == 0 else f"{i % 9000} {'x' * 200}", "ticket_type": "ab"[i % 2], "matched_article_count": i % 5, "column": None} for i in range(30_000)]
+    path = str(tmp_path / "t.parquet")
+    write(path, rows, [20_000, 10_000])  # too many long subjects for one dictionary: later pages are plain
+    table = open_coded(path).read_row_group(0)
+    assert pa.types.is_dictionary(table.schema.field("subject").type) and pa.types.is_dictionary(table.schema.field("ticket_type").type)
+    assert pa.types.is_int64(table.schema.field("load_id").type)
+    profile, shares = column_profile(spark, path, ("subject", "ticket_type", "matched_article_count", "column"))
+    got = {(r.load_id, r.column_name): (r.n_rows, r.n_null, r.n_distinct) for r in profile.collect()}
+    for load in (1, 2, 3):
+        for c in ("subject", "ticket_type", "matched_article_count", "column"):
+            vs = [r[c] for r in rows if r["load_id"] == load]
+            assert got[load, c] == (len(vs), vs.count(None), len({v for v in vs if v is not None}))
