@@ -5,32 +5,42 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_ISO = (
-    r"^(\d{4}-\d{2}-\d{2})[Tt ](\d{2}:\d{2}(?::\d{2}(?:\.\d{1,9})?)?) ?"
-    r"(?:([Zz])|([+-]\d{2}):?(\d{2})?)?$"
-)
+_ISO = r"^\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}(?::\d{2}(?:\.\d{1,9})?)? ?(?:[Zz]|[+-]\d{2}(?::?\d{2})?)?$"
 _MAX_MS = 253_402_300_799_999  # the last millisecond of the year 9999
+#: The characters of Unicode's White_Space property (fixed values).
+_SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def _trimmed(value: Column) -> Column:
+    return F.btrim(value, F.lit(_SPACES))
 
 
 def clean_key(value: Column) -> Column:
     """Trimmed (all Unicode white space) and in lower case; null where nothing is left."""
-    return F.nullif(F.lower(F.regexp_replace(value, r"(?U)^\s+|\s+$", "")), F.lit(""))
+    return F.nullif(F.lower(_trimmed(value)), F.lit(""))
+
+
+def instant_of_trimmed(text: Column) -> Column:
+    """`parse_instant` of a text without white space around it. `text` is used several times, so it should be a column."""
+    # by its pattern the date has ten characters and the time to minutes sits at 12 to 16; seconds follow if a colon does
+    rest = F.substring(text, 17, 64)
+    clock = F.concat(F.substring(text, 1, 10), F.lit("T"), F.substring(text, 12, 5), F.when(F.startswith(rest, F.lit(":")), F.lit("")).otherwise(F.lit(":00")))
+    zone = F.when(F.endswith(rest, F.lit("Z")) | F.contains(rest, F.lit("+")) | F.contains(rest, F.lit("-")), F.lit("")).otherwise(F.lit("Z"))
+    stamp = F.concat(clock, F.translate(rest, "z ", "Z"), F.when(F.endswith(rest, F.lit("z")), F.lit("")).otherwise(zone))
+    number = text.try_cast("bigint")
+    return F.when(text.rlike(_ISO), F.when(~F.startswith(text, F.lit("0000")), F.unix_micros(stamp.try_cast("timestamp")))).when(
+        text.rlike(r"^-?\d{1,16}$") & (F.abs(number) <= _MAX_MS), number * 1000
+    )
 
 
 def parse_instant(value: Column) -> Column:
     """Microseconds since 1970 of a text that states a date and a time, else null; never raises.
 
     `2018-01-05T10:11[:12[.123456]]`, with T or a space, with Z, an offset or none (then UTC);
-    or a bare whole number of milliseconds since 1970. A date without a time, an impossible date
+    or a bare whole number of milliseconds since 1970. A date without a time, an impossible date, the hour 24
     and the year 0000 give null. Doesn't depend on the session's time zone.
     """
-    text = F.regexp_replace(value, r"(?U)^\s+|\s+$", "")
-    zone = F.concat(F.nullif(F.regexp_extract(text, _ISO, 4), F.lit("")), F.lit(":"),
-                    F.coalesce(F.nullif(F.regexp_extract(text, _ISO, 5), F.lit("")), F.lit("00")))
-    stamp = F.concat(F.regexp_extract(text, _ISO, 1), F.lit("T"), F.regexp_extract(text, _ISO, 2), F.coalesce(zone, F.lit("Z")))
-    iso = F.when(text.rlike(_ISO) & ~text.startswith("0000"), F.unix_micros(stamp.try_cast("timestamp")))
-    number = F.when(text.rlike(r"^-?\d{1,16}$"), text.try_cast("bigint"))
-    return F.coalesce(iso, F.when(F.abs(number) <= _MAX_MS, number * 1000))
+    return instant_of_trimmed(_trimmed(value))
 
 
 def sessions(

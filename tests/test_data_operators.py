@@ -59,7 +59,7 @@ def write(path, rows, groups):
 def test_profile_reads_only_what_footers_lack(spark, tmp_path):
     rng = random.Random(3)
     rows = [
-        {"load_id": 1 + i // 250, "subject": rng.choice([None, "", "42", "Ä b", "x" * 100]), "ticket_type": rng.choice(["t", None]), "matched_article_count": rng.choice([None, -5, 7]), "column": "c"}
+        {"load_id": 1 + i // 250, "subject": rng.choice([None, "", "42", "Ä b", "ü" * 100]), "ticket_type": rng.choice(["t", None]), "matched_article_count": rng.choice([None, -5, 7]), "column": "c"}
         for i in range(1000)
     ]
     path = str(tmp_path / "t.parquet")

@@ -58,6 +58,30 @@ def test_parse_instant(spark, text, micros):
             spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
+def test_every_form_gives_what_duckdb_gives(spark):
+    import itertools
+
+    import duckdb
+    from pyspark.sql import functions as F
+
+    from millrace.catalog_data import _INSTANT
+
+    clocks = ["10:11", "10:11:12", "00:00:00.5", "23:59:59.123456", "10:60", "10:11:60"]
+    zones = ["", "Z", "z", " Z", "+05:30", "-0430", "+02", " -02:00", "+00:00", "-17:59", "UTC", "+5"]
+    texts = [f"{d}{sep}{c}{z}" for d, sep, c, z in itertools.product(["1970-01-01", "2018-02-28", "2018-02-30", "1900-01-01"], "T ", clocks, zones)]
+    got = {r.s: r.t for r in spark.createDataFrame([(x,) for x in texts], "s string").select("s", parse_instant(F.col("s")).alias("t")).collect()}
+    db = duckdb.connect()
+    want = dict(db.execute(f"SELECT ts, {_INSTANT} FROM (SELECT unnest(?) AS ts)", [texts]).fetchall())
+    assert got == want and sum(v is not None for v in got.values()) > 200
+    assert got["1970-01-01T10:11"] == 36_660_000_000 and got["1970-01-01 10:11+05:30"] == 16_860_000_000
+
+
+def test_events_without_seconds_count(spark):
+    rows = [(1, "2018-01-05 10:11", "a", "v", "", ""), (2, "2018-01-05T10:12:00Z", "a", "v", "", ""), (3, "2018-01-05T12:15+02", "a", "v", "", "")]
+    got = sessions(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert [(r.first_event_id, r.last_event_id, r.n_events) for r in got] == [(1, 3, 3)]
+
+
 def test_edges(spark):
     assert sessions(spark.createDataFrame([], SCHEMA)).count() == 0
     same = [(i, "2018-01-01T00:00:00Z", "a", "x" * 5000, None, None) for i in (5, 3, 3, None)]
