@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 _ISO = r"^\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}(?::\d{2}(?:\.\d{1,9})?)? ?(?:[Zz]|[+-]\d{2}(?::?\d{2})?)?$"
 _MAX_MS = 253_402_300_799_999  # the last millisecond of the year 9999
+#: Number of ids to one instant in a rank; ids lie between minus and plus its half.
+_STEP = 1 << 64
 #: The characters of Unicode's White_Space property (fixed values).
 _SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -68,19 +70,19 @@ def sessions(
     """
     gap = gap_s * 1_000_000
     kind = events.schema[at].dataType.simpleString()
-    instant = parse_instant(F.col(at)) if kind == "string" else F.col(at) if kind == "bigint" else F.unix_micros(F.col(at).cast("timestamp"))
     act = F.coalesce(F.nullif(F.trim(F.col(action).cast("string")), F.lit("")), F.lit("<none>")) if action else F.lit("")
-    base = events.select(
-        clean_key(F.col(actor).cast("string")).alias("a"), instant.alias("t"), F.col(event_id).cast("bigint").alias("i"), act.alias("k")
-    ).filter("a IS NOT NULL AND t IS NOT NULL")
+    stated = _trimmed(F.col(at)) if kind == "string" else F.col(at) if kind == "bigint" else F.unix_micros(F.col(at).cast("timestamp"))
+    picked = events.select(clean_key(F.col(actor).cast("string")).alias("a"), stated.alias("x"), F.col(event_id).cast("bigint").alias("i"), act.alias("k"))
+    instant = instant_of_trimmed(F.col("x")) if kind == "string" else F.col("x")
+    base = picked.select("a", "i", "k", F.when(F.col("a").isNotNull(), instant).alias("t"))
     # instant and id in one sortable number, so that the smallest id at the first instant needs no sort;
     # decimals have a fixed-width buffer, hence hash aggregation
-    rank = "cast(t AS decimal(20,0)) * 20000000000000000000BD + cast(i AS decimal(20,0)) + 9223372036854775808BD"
     chunks = (
-        base.withColumn("c", F.expr(f"(t - pmod(t, {gap}L)) div {gap}L"))
-        .withColumn("r", F.expr(f"cast({rank} AS decimal(38,0))"))
+        base.select("a", "k", "t", F.expr(f"(t - pmod(t, {gap}L)) div {gap}L").alias("c"), F.expr(f"cast(cast(t AS decimal(20,0)) * {_STEP}BD + cast(i AS decimal(20,0)) AS decimal(38,0))").alias("r"))
         .groupBy("a", "c", "k")
         .agg(F.min("t").alias("lo"), F.max("t").alias("hi"), F.min("r").alias("rlo"), F.max("r").alias("rhi"), F.count(F.lit(1)).alias("n"))
+        # on a result of the aggregate, so that the filter isn't pushed below it, where it would parse every time again
+        .filter("lo IS NOT NULL")
     )
     by_actor = Window.partitionBy("a").orderBy("lo", "c", "k")
     before = F.max("hi").over(by_actor.rowsBetween(Window.unboundedPreceding, -1))
@@ -95,7 +97,7 @@ def sessions(
         F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("rlo").alias("rlo"), F.max("rhi").alias("rhi"), F.sum("n").alias("n"),
         *([F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "n")))).alias("actions")] if action else []),
     )
-    back = "cast(pmod({0}, 20000000000000000000BD) - 9223372036854775808BD AS bigint)"
+    back = f"cast({{0}} - floor(({{0}} + {_STEP // 2}BD) / {_STEP}BD) * {_STEP}BD AS bigint)"
     return one.select(
         F.col("a").alias("actor"), F.expr(back.format("rlo")).alias("first_event_id"), F.expr(back.format("rhi")).alias("last_event_id"),
         F.timestamp_micros("lo").cast("timestamp_ntz").alias("started_at"), F.timestamp_micros("hi").cast("timestamp_ntz").alias("ended_at"),
