@@ -72,7 +72,13 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_profile(spark: SparkSession, d: str) -> DataFrame:
     profile, _ = column_profile(spark, f"{d}/joined_case_output.parquet", PROFILED, valid=VALID)
-    return profile
+    return profile.drop("least", "most")
+
+
+def p5_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """Nulls and ranges alone: chunks are opened only where a footer doesn't suffice."""
+    profile, _ = column_profile(spark, f"{d}/joined_case_output.parquet", PROFILED, counted=())
+    return profile.select("load_id", "column_name", "n_rows", "n_null", "least", "most")
 
 
 def p5_changes(spark: SparkSession, d: str) -> DataFrame:
@@ -82,7 +88,7 @@ def p5_changes(spark: SparkSession, d: str) -> DataFrame:
     return load_changes(profile, shares).select("load_id", "column_name", "prior_load_id", "lo", "hi", *[F.round(c, 6).alias(c) for c in rounded])
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_sessions, p3_found, p3_pair_stats, p3_category_rollup, p5_found, p5_profile, p5_changes)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_sessions, p3_found, p3_pair_stats, p3_category_rollup, p5_found, p5_profile, p5_ranges, p5_changes)}
 
 _INSTANT = r"""
 CASE WHEN regexp_full_match(ts, '\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)? ?([Zz]|[+-]\d{2}:?(\d{2})?)?') AND NOT starts_with(ts, '0000')
@@ -136,6 +142,12 @@ ORACLES = {
     "p3_pair_stats": "SELECT ticket_type, matched_category, count(DISTINCT record_index) AS n_cases, count(*) AS n_case_articles, sum(matched_article_count)::BIGINT AS sum_article_count FROM joined_case_output LEFT JOIN knowledge_articles ON matched_category = category GROUP BY ALL",
     "p3_category_rollup": "SELECT load_id, category, count(DISTINCT record_index) AS n_cases, count(*) AS n_case_articles, sum(length(answer))::BIGINT AS sum_answer_chars FROM joined_case_output JOIN knowledge_articles ON matched_category = category GROUP BY ALL",
     "p5_profile": _PROFILE,
+    "p5_ranges": " UNION ALL ".join(
+        f"SELECT load_id, '{c}' AS column_name, count(*) AS n_rows, count(*) - count({c}) AS n_null, "
+        + ", ".join(f"{f}({c})".join(("epoch_us(", ")") if c == "created_at" else ("", "")) + f"::VARCHAR AS {n}" for f, n in (("min", "least"), ("max", "most")))
+        + " FROM joined_case_output GROUP BY load_id"
+        for c in PROFILED
+    ),
     "p5_changes": _CHANGES
     + "SELECT load_id, column_name, prior_load_id, lo, hi, " + ", ".join(f"round({c}, 6) AS {c}" for c in ("null_rate", "malformed_rate", "distinct_share", "d_null", "d_malformed", "d_distinct", "distribution")) + " FROM o",
     "p5_found": _CHANGES

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators.eager import eager_join_aggregate, frequent_groups
-from millrace.operators.profile import chunk_statistics, column_profile, load_changes, open_coded
+from millrace.operators.profile import ScanReport, chunk_statistics, column_profile, load_changes, located, open_coded
 from millrace.operators.skew import hot_split_join
 
 
@@ -84,6 +84,49 @@ def test_profile_reads_only_what_footers_lack(spark, tmp_path):
     assert shares.filter("column_name = 'ticket_type'").agg(F.sum("n")).first()[0] == sum(r["ticket_type"] is not None for r in rows)
 
 
+def test_chunks_are_opened_only_where_footers_lack(spark, tmp_path):
+    import datetime as dt
+
+    schema = pa.schema([("load_id", pa.int64()), ("n", pa.int64()), ("d", pa.float64()), ("s", pa.string()), ("at", pa.timestamp("us")), ("day", pa.date32()), ("ok", pa.bool_())])
+    start = dt.datetime(2020, 1, 1)
+    rows = [
+        {"load_id": None if k == 3 else k, "n": i - 7 if i % 5 else None, "d": float("nan") if i % 11 == 0 else i / 4, "s": None if i % 3 == 0 else f"v{i % 40:02d}", "at": start + dt.timedelta(hours=i * k), "day": (start + dt.timedelta(days=i)).date(), "ok": i % 2 == 0}
+        for k in (1, 2, 3, 4) for i in range(k, 100)
+    ]
+    columns = schema.names[1:]
+    groups = {"by_load": [[r for r in rows if r["load_id"] == k] for k in (1, 2, 4, None)], "mixed": [rows[:150], rows[150:]]}
+    seen = {}
+    for name, parts in groups.items():
+        path = str(tmp_path / f"{name}.parquet")
+        with pq.ParquetWriter(path, schema) as w:
+            for part in parts:
+                w.write_table(pa.Table.from_pylist(part, schema=schema))
+        reads = ScanReport(spark)
+        profile, shares = column_profile(spark, path, columns, counted=(), reads=reads)
+        seen[name] = {(r.load_id, r.column_name): (r.n_rows, r.n_null, r.n_distinct, r.least, r.most) for r in profile.collect()}
+        assert shares.count() == 0
+        # by load: only those of the null load, whose footer doesn't name a load, and doubles with NaN, which have no statistics there
+        assert reads.chunks.value == 12 if name == "mixed" else reads.chunks.value <= 6 + 3
+        assert reads.bytes.value > 0 and reads.values.value > 0
+    assert seen["by_load"] == seen["mixed"]
+    us = lambda t: str(int((t - dt.datetime(1970, 1, 1)).total_seconds()) * 1_000_000)
+    for k in (1, 2, 3, 4):
+        vs = [r for r in rows if r["load_id"] == (None if k == 3 else k)]
+        got = {c: seen["mixed"][None if k == 3 else k, c] for c in columns}
+        assert got["n"] == (len(vs), sum(r["n"] is None for r in vs), None, str(min(r["n"] for r in vs if r["n"] is not None)), "92")
+        assert got["s"][3:] == (min(r["s"] for r in vs if r["s"]), max(r["s"] for r in vs if r["s"])) and got["ok"][3:] == ("0", "1")
+        assert got["at"][3:] == (us(min(r["at"] for r in vs)), us(max(r["at"] for r in vs))) and got["d"][4] == "24.5"
+    reads = ScanReport(spark)
+    column_profile(spark, str(tmp_path / "by_load.parquet"), ("n", "s"), counted=("s",), reads=reads)[0].count()
+    assert reads.chunks.value == 4 + 1  # all of s, and of n only the null load's
+
+
+def test_places_of_files():
+    assert located("file:///a/b c%20.parquet") == ("", "/a/b c%20.parquet") and located("/a/b") == ("", "/a/b")
+    assert located("s3a://bucket/a b/c.parquet") == ("s3://bucket/", "a b/c.parquet")
+    assert located("hdfs://host:9000/a/b") == ("hdfs://host:9000/", "a/b")
+
+
 def test_profile_edges(spark, tmp_path):
     path = str(tmp_path / "t.parquet")
     write(path, [], [0])
