@@ -72,6 +72,67 @@ def test_words(spark):
     assert get("") == [] and get(None) is None
 
 
+def test_hashes_follow_words(spark):
+    import pyarrow as pa
+
+    texts = [None, "", "Crème <br/> XU-93480,\n**bold** &amp; é - x", "a  <b class='x y'>c</b> < d [l](http://x.y/z) 3<4 &#x41; ß Œuvre\u3000終わり\u200b。", "..."]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, s string").select("i", leak.words(F.col("s")).alias("w")).orderBy("i").collect()
+    hashes, counts = leak.word_hashes(pa.array(texts))
+    assert counts.tolist() == [len(r.w or []) for r in rows]
+    assert hashes.tolist() == [leak._word_hash(w) for r in rows for w in r.w or []]
+
+
+def test_long_tags_and_links_are_markup(spark):
+    tag, link = f"<a title='{'x y ' * 200}'>", f"[it](http://{'z' * 500})"
+    ws = ITEM.split()
+    assert found(spark, [" ".join([*ws[:12], tag, *ws[12:24]]), " ".join([*ws[:11], link[:3], "]" + link[4:], *ws[11:22]])]) == [(0, 7), (1, 7)]
+
+
+def test_runs():
+    assert leak.unaltered_run(20, 8) == 6 and leak.unaltered_run(20, 99) == 20 and leak.unaltered_run(6, 8) == 4
+
+
+@settings(max_examples=120, deadline=None)
+@given(st.data())
+def test_candidates_lose_no_passage(data):
+    """Every document in which the aligner finds a passage of an item is found by way of the index."""
+    import numpy as np
+
+    few = data.draw(st.sampled_from([5, 40, 400]))
+    items = [data.draw(st.lists(st.integers(0, few), min_size=20, max_size=90)) for _ in range(data.draw(st.integers(1, 3)))]
+    texts = []
+    for _ in range(4):
+        at = data.draw(st.integers(0, len(items) - 1))
+        low = data.draw(st.integers(0, 30))
+        text = list(items[at][low : low + data.draw(st.integers(15, 80))])
+        for place, kind in data.draw(st.lists(st.tuples(st.integers(0, 89), st.sampled_from("adsb")), max_size=8)):
+            place %= max(1, len(text))
+            text[place : place + 1] = [999, *text[place : place + 1]] if kind == "a" else [] if kind == "d" else [998] * (3 if kind == "b" else 1)
+        noise = st.lists(st.integers(0, 500), max_size=20)
+        texts.append(data.draw(noise) + text + data.draw(noise))
+    asked = leak.Asked([(i, np.array(w, np.int64)) for i, w in enumerate(items)], 20, 8)
+    flat, counts = np.array([w for x in texts for w in x], np.int64), np.array([len(x) for x in texts])
+    bounds = np.append(0, np.cumsum(counts + 1))
+    at = np.arange(len(flat)) + np.repeat(np.arange(len(texts)), counts)
+    terms, code = np.unique(flat, return_inverse=True)
+    part = {"bounds": bounds, "terms": terms, "starts": np.append(0, np.cumsum(np.bincount(code))), "places": at[np.argsort(code, kind="stable")]}
+    pairs, n = asked.frequencies(part)
+    frequency = np.zeros(len(asked.pairs), np.int64)
+    frequency[pairs] = n
+    asked.place_seeds(frequency)
+    got = {(d, i) for d, i, *_ in asked.search(part)}
+    want = {(d, i) for d, x in enumerate(texts) for i, v in enumerate(items) if leak.longest_passage(v, x, 8, 20)[0] >= 20}
+    assert want <= got
+
+
+def test_the_stored_index_serves_later_items(spark, tmp_path):
+    rng = random.Random(2)
+    other = " ".join(f"word{i} part{i}" for i in range(30))
+    index = leak.build_index(docs(spark, [f"{filler(rng, 30)} {ITEM}", None, "", f"{other} {filler(rng, 3)}", ITEM]), path=str(tmp_path / "index"))
+    ask = lambda i, t: sorted((r.doc_id, r.item_id) for r in leak.leaked_passages(index, spark.createDataFrame([(i, t)], "item_id bigint, text string")).collect())
+    assert ask(1, ITEM) == [(0, 1), (4, 1)] and ask(2, other) == [(3, 2)] and ask(3, "something else") == []
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.data())
 def test_bound_never_drops_a_passage(data):
