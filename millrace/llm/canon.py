@@ -56,8 +56,14 @@ def _unescape(raw: str) -> str:
     return _ESCAPE.sub(one, raw)
 
 
-def _number_text(value) -> str:
-    return str(value)
+def _literal(node: ast.expr, source: str):
+    """The value of a Python literal; a number stays as it's written, as it does in JSON (`1e3` isn't turned to `1000.0`)."""
+    if isinstance(node, ast.Dict):
+        return {str(ast.literal_eval(k)): _literal(v, source) for k, v in zip(node.keys, node.values)}
+    if isinstance(node, (ast.List, ast.Tuple)):
+        return [_literal(x, source) for x in node.elts]
+    value = ast.literal_eval(node)
+    return ast.get_source_segment(source, node) if isinstance(value, (int, float)) and not isinstance(value, bool) else value
 
 
 def _parsed(text: str) -> list[tuple[str, object]] | None:
@@ -69,9 +75,10 @@ def _parsed(text: str) -> list[tuple[str, object]] | None:
     except (ValueError, RecursionError):
         pass
     try:
-        tree = ast.parse(text.strip(), mode="eval").body
+        source = text.strip()
+        tree = ast.parse(source, mode="eval").body
         if isinstance(tree, ast.Dict) and all(k is not None for k in tree.keys):
-            return [(str(ast.literal_eval(k)), ast.literal_eval(v)) for k, v in zip(tree.keys, tree.values)]
+            return [(str(ast.literal_eval(k)), _literal(v, source)) for k, v in zip(tree.keys, tree.values)]
     except (ValueError, SyntaxError, MemoryError, RecursionError, TypeError):
         pass
     body = text.strip()
@@ -95,7 +102,7 @@ def _value(value) -> str:
         return "{" + canonical_pairs(list(value.items())) + "}"
     if isinstance(value, (list, tuple)):
         return "[" + ",".join(map(_value, value)) + "]"
-    return letters_and_digits(_number_text(value))
+    return letters_and_digits(str(value))
 
 
 def canonical_pairs(pairs: list[tuple[str, object]]) -> str:

@@ -53,6 +53,12 @@ def test_objects():
     assert canon.canonical_object('{"a": {"b": [1, "x y"]}}') == canon.canonical_object('{"A": {"B": ["1", "XY"]}}')
 
 
+def test_numbers_keep_their_spelling():
+    same = canon.canonical_object
+    assert same('{"a": 1e3, "b": [1.50, {"c": -7}]}') == same("{'b': [1.50, {'c': -7}], 'a': 1e3}")
+    assert same("{'a': 1e3}") != same("{'a': 1000.0}") and same("{'a': True, 'b': None}") == same('{"b": null, "a": true}')
+
+
 def test_against_brute_force_with_a_hot_group(spark):
     rng = random.Random(5)
     rows = [(i, rng.choice(["The same!", "the SAME", "T h e same"]) if i % 3 == 0 else f"{rng.choice(['Item', 'ITEM ', 'item-'])} {rng.randrange(400)}" if i % 3 == 1 else rng.choice([None, "", "...", "​"])) for i in range(3000)]
