@@ -52,6 +52,35 @@ def test_typos_of_a_long_list_are_found():
         assert m.best(e[:k] + e[k + 1 :])[1] == i
 
 
+@given(word, st.lists(word, max_size=30))
+def test_distances_at_once(a, texts):
+    assert B.distances(a, texts).tolist() == [B.distance(a, t, 99) for t in texts]
+
+
+def test_rules_are_parameters():
+    strict = B.Matcher(ENTRIES, B.Rules(radius=(), most=0))
+    assert strict.best("techncal issue") is None and strict.best("technical issue")[1] == 1
+    assert B.Matcher(ENTRIES, B.Rules(fillers=frozenset({"kindly"}))).best("kindly order")[1] == 4 and B.Matcher(ENTRIES).best("kindly order") is None
+
+
+def test_a_long_list_in_shards(spark, monkeypatch):
+    """Every entry within the radius is met by some shard: typos of a list of 3,000 entries map as over one tree."""
+    rng = random.Random(6)
+    monkeypatch.setattr(B, "SHARD_ENTRIES", 500)
+    monkeypatch.setattr(B, "TREES_AT_ONCE", 1 << 20)
+    entries = sorted({"".join(rng.choice("abcdefghijklmnoprstuvwy") for _ in range(rng.randrange(8, 14))) for _ in range(3000)})
+    ref = spark.createDataFrame([(i, "f", e) for i, e in enumerate(entries)], "canonical_id bigint, field_name string, canonical_value string")
+    asked = {}
+    for i in rng.sample(range(len(entries)), 120):
+        k = rng.randrange(1, 7)
+        asked[entries[i][:k] + rng.choice("xz") + entries[i][k + 1 :]] = i
+    df = spark.createDataFrame([(n, v) for n, v in enumerate(asked)], "id bigint, f string")
+    got = {r.value: r.canonical_id for r in B.map_to_canonical(spark, df, "id", ("f",), ref).collect()}
+    whole = B.Matcher(list(enumerate(entries)))
+    assert got == {v: whole.best(v)[1] for v in asked}
+    assert sum(got[v] == i for v, i in asked.items()) >= 0.97 * len(asked)
+
+
 def test_rows(spark, monkeypatch):
     rows = [(i, "Technical issue" if i % 3 == 0 else ["tchnical issue", None, "coffee", "REFUND REQUEST", ""][i % 5], "ordr" if i % 2 else None) for i in range(300)]
     df = spark.createDataFrame(rows, "id bigint, f string, value string")
