@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import shutil
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -288,31 +286,18 @@ def join_sql_null(spark, d):
 
 
 def _typed_join(how: str):
-    def run(spark, d):
-        a, b = _nullable_pair(spark, d)
-        return R.join_frames(a.filter("s_suppkey % 7 < 3"), b, [JoinKey("k", "nk")], how).select("s_suppkey", "n_name")
-
-    run.__name__ = f"join_{how}"
-    return query("SELECT s_suppkey, n_name FROM (SELECT s_suppkey, nullif(s_nationkey, 3) AS k FROM supplier WHERE s_suppkey % 7 < 3) a " + how.upper() + " JOIN (SELECT n_name, nullif(n_nationkey, 3) AS nk FROM nation) b ON k = nk")(run)
-
-
-for _how in ("inner", "left", "right", "full"):
-    _typed_join(_how)
-
-
-def _whole_join(how: str):
     """All suppliers and all nations; the nulled keys leave rows without a match on both sides."""
 
     def run(spark, d):
         a, b = _nullable_pair(spark, d)
         return R.join_frames(a, b, [JoinKey("k", "nk")], how).select("s_suppkey", "n_name")
 
-    run.__name__ = f"join_whole_{how}"
+    run.__name__ = f"join_{how}"
     return query("SELECT s_suppkey, n_name FROM " + _PAIR.format(how=how.upper(), on="k = nk"))(run)
 
 
 for _how in ("inner", "left", "right", "full"):
-    _whole_join(_how)
+    _typed_join(_how)
 
 
 @query("SELECT count(*) AS n, sum(a.l_quantity)::DOUBLE AS q FROM lineitem a JOIN (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_returnflag = 'R') b ON a.l_partkey = b.l_partkey AND a.l_suppkey = b.l_suppkey")
@@ -588,7 +573,11 @@ def join_scores(spark, d):
     return spark.createDataFrame([(f["left"], f["right"], f["confidence"], f["is_unique_key"]) for f in found], "l string, r string, confidence double, is_unique_key boolean")
 
 
-@query()
+_LOOKS = "(SELECT CASE WHEN bool_or(({0} LIKE '%-%' AND {0} LIKE '%:%') OR regexp_full_match({0}, '\\d{{4}}-\\d{{2}}-\\d{{2}}')) THEN 'Timestamp' ELSE 'String' END FROM joined_case_output)"
+
+
+@query(f"""SELECT * FROM (VALUES ('case_id', 'case_id', {_LOOKS.format("case_id")}, 1.0::DOUBLE, 'auto'), ('title_subject', 'subject', {_LOOKS.format("subject")}, 0.932, 'auto'),
+ ('article count', 'matched_article_count', 'Integer', 0.932, 'auto')) v(source_field, target_field, source_type, confidence, route)""")
 def mapping_scores(spark, d):
     df = t(spark, d, "joined_case_output").select("case_id", F.col("subject").alias("title_subject"), F.col("matched_article_count").alias("article count"))
     found = I.infer_mappings(df, SCHEMAS["JoinedCaseOutput"])
@@ -601,7 +590,8 @@ def source_scores(spark, d):
     return spark.createDataFrame([(f["source"], f["confidence"]) for f in found], "source string, confidence double")
 
 
-@query()
+@query("""SELECT * FROM (VALUES ('actor', 'Map', 'trim_whitespace', 1.0::DOUBLE, 'auto'), ('received', 'Map', 'trim_whitespace', 0.94, 'auto'), ('received', 'Map', 'parse_timestamp', 0.94, 'auto'))
+ v(field, op, transform, confidence, route)""")
 def transform_suggestions(spark, d):
     df = t(spark, d, "security_audit_log").select("actor", F.date_format("received_at", "yyyy-MM-dd HH:mm:ss").alias("received"))
     found = I.infer_transforms("please clean the actor column", df)
@@ -724,14 +714,13 @@ def csv_round_trip(spark, d):
 
 @query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
 def json_array_round_trip(spark, d):
+    """The array is written by the driver, to the shared folder, and read by the executors."""
+    import uuid
+
     n = t(spark, d, "nation")
-    folder = tempfile.mkdtemp(prefix="millrace-")
-    try:
-        C.write_json_array(n, f"{folder}/nation.json")
-        rows = [tuple(r) for r in C.read_json_array(spark, f"{folder}/nation.json", n.schema).select(*n.columns).collect()]
-    finally:
-        shutil.rmtree(folder, ignore_errors=True)
-    return spark.createDataFrame(rows, n.schema)
+    at = _work(spark, f"json-{uuid.uuid4().hex}").removeprefix("file:")
+    C.write_json_array(n, f"{at}/nation.json")
+    return C.read_json_array(spark, f"{at}/nation.json", n.schema).select(*n.columns)
 
 
 @query("SELECT * FROM (VALUES ('good', true, (SELECT count(*) FROM nation)), ('bad', false, 0), ('late', true, (SELECT count(*) FROM region))) v(name, success, n)")

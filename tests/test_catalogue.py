@@ -62,7 +62,7 @@ def test_whole_joins_keep_every_supplier_and_nation(spark):
     left, right = {(s, None) for s, k in keys.items() if k == 3}, {(None, name) for k, name in names.items() if k == 3 or k not in keys.values()}
     assert matched and left and right
     for how, rows in (("inner", matched), ("left", matched | left), ("right", matched | right), ("full", matched | left | right)):
-        got = QUERIES[f"join_whole_{how}"](spark, str(DATA)).collect()
+        got = QUERIES[f"join_{how}"](spark, str(DATA)).collect()
         assert len(got) == len(rows) and {(r.s_suppkey, r.n_name) for r in got} == rows
 
 
