@@ -6,7 +6,7 @@ import datetime as dt
 from collections import Counter
 from dataclasses import asdict, dataclass, field
 
-from millrace.plans.ir import Aggregate, Cast, Filter, Join, Map, Step, Union, WindowStep
+from millrace.plans.ir import Aggregate, Cast, Filter, Join, Map, SetStep, Step, Union, WindowStep
 
 
 @dataclass
@@ -53,7 +53,7 @@ class LineageStore:
                     self._add(i, s, f, s.right, list(right), **extra)
             return
         for f in output:
-            if isinstance(s, Union):
+            if isinstance(s, (Union, SetStep)):
                 for n in s.sources:
                     self._add(i, s, f, n, [f])
                 continue

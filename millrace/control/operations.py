@@ -9,7 +9,8 @@ from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from millrace.operators.quality import ContractResult, check_contract, safe_to_deploy
 from millrace.sources.connectors import write_json_array
@@ -50,6 +51,14 @@ class Cron:
         now = (at.minute, at.hour, at.day, at.month, (at.weekday() + 1) % 7)
         return all(n in f for n, f in zip(now, self.fields))
 
+    def column(self, at: Column) -> Column:
+        """Whether each of a column's times matches; null for a null time."""
+        now = (F.minute(at), F.hour(at), F.dayofmonth(at), F.month(at), F.dayofweek(at) - 1)
+        out = at.isNotNull() | F.lit(None).cast("boolean")
+        for n, allowed in zip(now, self.fields):
+            out = out & n.isin(sorted(allowed))
+        return out
+
 
 @dataclass
 class BuildResult:
@@ -80,19 +89,35 @@ Build = Callable[[], tuple[DataFrame, int, ContractResult]]
 class Scheduler:
     """Runs builds when they're due, on an event or by hand. It never deploys: it has no gate and no writer."""
 
-    def __init__(self, clock: Callable[[], dt.datetime] = lambda: dt.datetime.now(dt.timezone.utc)):
-        self.clock = clock
+    def __init__(self, clock: Callable[[], dt.datetime] = lambda: dt.datetime.now(dt.timezone.utc), path: str | None = None, build: Build | None = None):
+        """With `path` schedules and triggers are kept in that file; those found there run `build`."""
+        self.clock, self.path = clock, Path(path) if path else None
         self.schedules: dict[str, dict] = {}
         self.triggers: dict[str, dict] = {}
         self.results: list[BuildResult] = []
+        if self.path and self.path.exists():
+            kept = json.loads(self.path.read_text(encoding="utf-8"))
+            self.schedules = {n: {"cron": Cron(s["cron"]), "pipeline": s["pipeline"], "build": build, "enabled": s["enabled"], "last": None} for n, s in kept["schedules"].items()}
+            self.triggers = {n: {**t, "build": build} for n, t in kept["triggers"].items()}
+
+    def _save(self) -> None:
+        if self.path:
+            kept = {
+                "schedules": {n: {"cron": s["cron"].text, "pipeline": s["pipeline"], "enabled": s["enabled"]} for n, s in self.schedules.items()},
+                "triggers": {n: {k: t[k] for k in ("event", "pipeline", "enabled")} for n, t in self.triggers.items()},
+            }
+            self.path.parent.mkdir(parents=True, exist_ok=True)
+            self.path.write_text(json.dumps(kept, indent=1), encoding="utf-8")
 
     def add_schedule(self, name: str, cron: str, pipeline: str, build: Build) -> None:
         if name in self.schedules:
             raise ValueError(f"schedule {name!r} exists already")
         self.schedules[name] = {"cron": Cron(cron), "pipeline": pipeline, "build": build, "enabled": True, "last": None}
+        self._save()
 
     def add_trigger(self, name: str, event: str, pipeline: str, build: Build) -> None:
         self.triggers[name] = {"event": event, "pipeline": pipeline, "build": build, "enabled": True}
+        self._save()
 
     def _schedule(self, name: str) -> dict:
         if name not in self.schedules:
@@ -101,10 +126,12 @@ class Scheduler:
 
     def enable(self, name: str, on: bool = True) -> None:
         self._schedule(name)["enabled"] = on
+        self._save()
 
     def remove(self, name: str) -> None:
         self._schedule(name)
         del self.schedules[name]
+        self._save()
 
     def check(self, at: dt.datetime | None = None) -> list[BuildResult]:
         """Run what is due, each schedule at most once a minute."""

@@ -5,12 +5,12 @@ from __future__ import annotations
 import datetime as dt
 import json
 from collections import Counter
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, fields
 from pathlib import Path
 from typing import Any
 
 from millrace.operators import infer
-from millrace.plans.ir import Cast, Join, JoinKey, Map, Step
+from millrace.plans.ir import Cast, Join, JoinKey, Map, Step, step_from_dict
 
 
 @dataclass
@@ -33,11 +33,22 @@ class ReviewGate:
         self.path = Path(path) if path else None
         if self.path and self.path.exists():
             self.trail = json.loads(self.path.read_text())
+        self.kept = self.path.with_suffix(".items.json") if self.path else None
+        if self.kept and self.kept.exists():
+            self.items = [Suggestion(**{**x, "step": step_from_dict(x["step"]) if x["step"] else None}) for x in json.loads(self.kept.read_text(encoding="utf-8"))]
+
+    def _save(self) -> None:
+        """All suggestions, so that what is pending is pending after a restart."""
+        if self.kept:
+            self.kept.parent.mkdir(parents=True, exist_ok=True)
+            rows = [{**{f.name: getattr(s, f.name) for f in fields(s)}, "step": s.step.to_dict() if s.step else None} for s in self.items]
+            self.kept.write_text(json.dumps(rows, indent=1, default=str), encoding="utf-8")
 
     def submit(self, s: Suggestion) -> int:
         if infer.route(s.kind, s.confidence) == "auto":
             self._decide(s, "approved", "auto", None)
         self.items.append(s)
+        self._save()
         return len(self.items) - 1
 
     def pending(self) -> list[tuple[int, Suggestion]]:
@@ -72,6 +83,7 @@ class ReviewGate:
         if self.path:
             self.path.parent.mkdir(parents=True, exist_ok=True)
             self.path.write_text(json.dumps(self.trail, indent=2))
+        self._save()
         return s
 
     def approved_steps(self) -> list[Step]:

@@ -74,9 +74,12 @@ def audit_summary(events: DataFrame) -> DataFrame:
 class AccessControl:
     """Users' roles. The first administrator is given when it's made; every denial is logged."""
 
-    def __init__(self, admin: str, audit: AuditLog | None = None):
+    def __init__(self, admin: str, audit: AuditLog | None = None, path: str | None = None):
         self._roles = {admin: "admin"}
         self.audit = audit or AuditLog()
+        self.path = Path(path) if path else None
+        if self.path and self.path.exists():
+            self._roles = json.loads(self.path.read_text(encoding="utf-8"))
 
     def role(self, user: str) -> str:
         return self._roles.get(user, "viewer")
@@ -100,6 +103,9 @@ class AccessControl:
         if admins == [user] and role != "admin":
             raise ValueError("the last administrator stays one")
         self._roles[user] = role
+        if self.path:
+            self.path.parent.mkdir(parents=True, exist_ok=True)
+            self.path.write_text(json.dumps(self._roles, indent=1), encoding="utf-8")
         self.audit.log(by, self.role(by), "assign_role", f"user:{user}", new_role=role)
 
     def summary(self) -> dict:
@@ -107,18 +113,28 @@ class AccessControl:
 
 
 class ColumnSecurity:
-    """Which fields are sensitive, and frames without them for those who may not see them."""
+    """Which fields are sensitive, and frames without them for those who may not see them.
 
-    def __init__(self, access: AccessControl, sensitive: dict[str, set[str]] | None = None):
-        self.access, self._marked = access, {k: set(v) for k, v in (sensitive or {}).items()}
+    Who may is who has the permission `view_sensitive`, or with `roles` whose role is among these.
+    """
+
+    def __init__(self, access: AccessControl, sensitive: dict[str, set[str]] | None = None, roles: set[str] | None = None, path: str | None = None):
+        self.access, self._marked, self.roles = access, {k: set(v) for k, v in (sensitive or {}).items()}, roles
+        self.path = Path(path) if path else None
+        if self.path and self.path.exists():
+            self._marked = {k: set(v) for k, v in json.loads(self.path.read_text(encoding="utf-8")).items()}
 
     def mark(self, by: str, schema: str, name: str, sensitive: bool = True) -> None:
         self.access.require(by, "manage_users", f"{schema}.{name}")
         marked = self._marked.setdefault(schema, set())
         (marked.add if sensitive else marked.discard)(name)
+        if self.path:
+            self.path.parent.mkdir(parents=True, exist_ok=True)
+            self.path.write_text(json.dumps(self.summary(), indent=1), encoding="utf-8")
 
     def hidden(self, user: str, schema: str) -> list[str]:
-        return [] if self.access.can(user, "view_sensitive") else sorted(self._marked.get(schema, ()))
+        may = self.access.can(user, "view_sensitive") if self.roles is None else self.access.role(user) in self.roles
+        return [] if may else sorted(self._marked.get(schema, ()))
 
     def visibility(self, user: str, schema: str, fields: list[str]) -> dict[str, bool]:
         hidden = self.hidden(user, schema)

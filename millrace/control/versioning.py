@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import dataclass, field
+import json
+from dataclasses import asdict, dataclass, field, fields
+from pathlib import Path
 
 from millrace.plans.ir import Pipeline
 
@@ -23,9 +25,15 @@ class Change:
 
 
 def diff_plans(old: Pipeline, new: Pipeline) -> list[Change]:
-    """Steps matched by their outputs; for modified ones, each differing part with its old and new value."""
-    a, b = ({s.output: s.to_dict() for s in p.steps} for p in (old, new))
+    """Sources matched by their names, steps by their outputs; for modified ones, each differing part with its old and new value."""
     out = []
+    x, y = ({s.name: asdict(s) for s in p.sources} for p in (old, new))
+    for name in sorted(x.keys() | y.keys()):
+        if name not in x or name not in y:
+            out.append(Change("added" if name in y else "removed", name, "Source"))
+        elif x[name] != y[name]:
+            out.append(Change("modified", name, "Source", {k: (x[name][k], y[name][k]) for k in x[name] if x[name][k] != y[name][k]}))
+    a, b = ({s.output: s.to_dict() for s in p.steps} for p in (old, new))
     for name in sorted(a.keys() | b.keys()):
         if name not in a:
             out.append(Change("added", name, b[name]["op"]))
@@ -88,11 +96,33 @@ class Snapshot:
 class PlanRepository:
     """Main, its branches, proposals and versions. What runs is Main; merging changes Main and deploys nothing."""
 
-    def __init__(self, main: Pipeline, by: str = "system"):
+    def __init__(self, main: Pipeline, by: str = "system", path: str | None = None):
         self._main = main.copy()
         self.branches: dict[str, Branch] = {}
         self.proposals: dict[str, Proposal] = {}
         self.versions = [Snapshot(1, main.copy(), by, "first version")]
+        self.path = Path(path) if path else None
+        if self.path and self.path.exists():
+            self._load(json.loads(self.path.read_text(encoding="utf-8")))
+
+    def _save(self) -> None:
+        """Everything to the file, if there's one; a new repository on that file goes on where this one is."""
+        if self.path:
+            plain = lambda x: json.loads(x.to_json()) if isinstance(x, Pipeline) else x
+            flat = lambda o: {f.name: plain(getattr(o, f.name)) for f in fields(o)}
+            state = {
+                "main": plain(self._main), "branches": [flat(b) for b in self.branches.values()], "versions": [flat(v) for v in self.versions],
+                "proposals": [{**flat(p), "changes": [asdict(c) for c in p.changes]} for p in self.proposals.values()],
+            }
+            self.path.parent.mkdir(parents=True, exist_ok=True)
+            self.path.write_text(json.dumps(state, indent=1), encoding="utf-8")
+
+    def _load(self, state: dict) -> None:
+        plan = lambda x: Pipeline.from_json(json.dumps(x))
+        self._main = plan(state["main"])
+        self.branches = {b["name"]: Branch(**{**b, "plan": plan(b["plan"]), "base": plan(b["base"])}) for b in state["branches"]}
+        self.versions = [Snapshot(**{**v, "plan": plan(v["plan"])}) for v in state["versions"]]
+        self.proposals = {p["id"]: Proposal(**{**p, "plan": plan(p["plan"]), "changes": [Change(**c) for c in p["changes"]]}) for p in state["proposals"]}
 
     @property
     def main(self) -> Pipeline:
@@ -102,6 +132,7 @@ class PlanRepository:
         if name.lower() == MAIN or name in self.branches:
             raise ValueError(f"branch {name!r} can't be created")
         self.branches[name] = Branch(name, self.main, self.main, author)
+        self._save()
         return self.branches[name]
 
     def branch(self, name: str) -> Branch:
@@ -114,6 +145,7 @@ class PlanRepository:
         if b.merged:
             raise ValueError(f"branch {name!r} is merged and can't change any more")
         b.plan = plan.copy()
+        self._save()
         return b
 
     def diff(self, name: str) -> list[Change]:
@@ -129,6 +161,7 @@ class PlanRepository:
                 p.status = "superseded"
         p = Proposal(f"proposal_{len(self.proposals) + 1:04d}", name, title, author, self.diff(name), b.plan.copy())
         self.proposals[p.id] = p
+        self._save()
         return p
 
     def proposal(self, pid: str) -> Proposal:
@@ -148,6 +181,7 @@ class PlanRepository:
         if not approve and not reason:
             raise ValueError("a rejection needs a reason")
         p.status, p.reviewer, p.reason = ("approved" if approve else "rejected"), reviewer, reason
+        self._save()
         return p
 
     def merge(self, pid: str, by: str) -> Snapshot:
@@ -160,6 +194,7 @@ class PlanRepository:
 
     def _snapshot(self, by: str, note: str) -> Snapshot:
         self.versions.append(Snapshot(len(self.versions) + 1, self.main, by, note))
+        self._save()
         return self.versions[-1]
 
     def rollback(self, version: int, by: str) -> Snapshot:

@@ -66,6 +66,24 @@ def overlap(left: DataFrame, left_column: str, right: DataFrame, right_column: s
     return both.withColumn("ratio", F.coalesce(F.try_divide("n_found", "n_left"), F.lit(0.0)))
 
 
+def overlaps(left: DataFrame, left_columns: Sequence[str], right: DataFrame, right_columns: Sequence[str]) -> DataFrame:
+    """left, right, n_left, n_found, ratio of `overlap` for every pair of columns, by one job."""
+    def valued(df: DataFrame, columns: Sequence[str], name: str) -> DataFrame:
+        cells = F.array(*[F.struct(F.lit(i).alias(name), F.nullif(F.col(f"`{c}`").cast("string"), F.lit("")).alias("v")) for i, c in enumerate(columns)])
+        return df.select(F.explode(cells).alias("x")).select("x.*").filter("v IS NOT NULL")
+
+    a = valued(left, left_columns, "i").groupBy("i", "v").agg(F.count(F.lit(1)).alias("n"))
+    b = valued(right, right_columns, "j").distinct()
+    # each value once, with the right columns that hold it, so that a left value isn't copied for each of them
+    holders = b.groupBy("v").agg(F.collect_set("j").alias("js"))
+    met = a.join(holders, "v", "left").groupBy("i").agg(
+        F.sum("n").alias("n_left"), *[F.sum(F.when(F.array_contains("js", F.lit(j)), F.col("n")).otherwise(0)).alias(f"f{j}") for j in range(len(right_columns))]
+    )
+    names = lambda cs, c: F.element_at(F.array(*[F.lit(x) for x in cs]), c + 1)
+    rows = met.select("i", "n_left", F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.col(f"f{j}").alias("n_found")) for j in range(len(right_columns))])).alias("x"))
+    return rows.select(names(left_columns, F.col("i")).alias("left"), names(right_columns, F.col("x.j")).alias("right"), "n_left", "x.n_found", F.coalesce(F.try_divide("x.n_found", "n_left"), F.lit(0.0)).alias("ratio"))
+
+
 def normalized(name: str) -> str:
     return re.sub(r"[\s_\-]+", "", name.lower())
 
@@ -112,13 +130,16 @@ def infer_joins(left: DataFrame, left_columns: Sequence[str], right: DataFrame,
     from millrace.functions.types import type_name
 
     kind = lambda df, c: kinds.get(c, type_name(df.schema[c].dataType))
+    if not left_columns or not right_columns:
+        return []
     ratios = {r["field_name"]: r["ratio"] for r in uniqueness(right, right_columns).collect()}
+    found = {(r["left"], r["right"]): r["ratio"] for r in overlaps(left, left_columns, right, right_columns).collect()}  # a row for each pair of columns
     out = []
     for a in left_columns:
         for b in right_columns:
             if not types_join(kind(left, a), kind(right, b)):
                 continue
-            shared = overlap(left, a, right, b).first()["ratio"]
+            shared = found.get((a, b), 0.0)
             conf = score("join", name=float(normalized(a) == normalized(b)), type=1.0, overlap=shared, uniqueness=ratios[b])
             note = "WARNING: values of the right key repeat" if ratios[b] < 0.5 else "NOTE: some values of the right key repeat" if ratios[b] < 0.9 else ""
             out.append({"left": a, "right": b, "overlap": shared, "uniqueness": ratios[b], "confidence": conf, "is_unique_key": ratios[b] >= 0.95, "note": note})

@@ -187,6 +187,16 @@ def run_trends(runs: DataFrame, pipeline: str = "pipeline", status: str = "statu
     )
 
 
+def run_histories(runs: DataFrame, pipeline: str = "pipeline", at: str = "at", run_id: str = "run_id", seconds: str = "seconds", rows: str = "rows") -> DataFrame:
+    """pipeline, record_count_history and duration_history: (run_id, value) of each run in the order of `at`, then run_id."""
+    one = F.struct(F.col(at).alias("at"), F.col(run_id).alias("run_id"), F.col(rows).alias("rows"), F.col(seconds).alias("seconds"))
+    listed = runs.groupBy(F.col(pipeline).alias("pipeline")).agg(F.array_sort(F.collect_list(one)).alias("h"))
+    return listed.select(
+        "pipeline", F.transform("h", lambda x: F.struct(x["run_id"].alias("run_id"), x["rows"].alias("record_count"))).alias("record_count_history"),
+        F.transform("h", lambda x: F.struct(x["run_id"].alias("run_id"), x["seconds"].alias("duration_seconds"))).alias("duration_history"),
+    )
+
+
 def run_alerts(runs: DataFrame, limits: DataFrame, seen: DataFrame | None = None, status: str = "status", seconds: str = "seconds") -> DataFrame:
     """run_id, pipeline, kind, severity: run_failure (critical) for runs that failed, sla_breach (warning) for
     successful runs that took strictly longer than the pipeline's limit_s. Runs in `seen` (run_id, kind) raise nothing again.

@@ -71,6 +71,7 @@ def join_frames(
     key adds `matched_category`. nested: a struct of the left row and, with `one_to_many`, an array of the matching
     right rows, else the first one by `order_by` (by all columns if that's None). Nested right and full joins add a
     row for each right row without a match, with a null left struct.
+    `how` is inner, left, right, full, semi or anti; the last two are flat and have the left columns only.
     """
     mapped = [k for k in on if k.mapping is not None]
     names = [f"_mr_k{i}" for i in range(len(on))]
@@ -83,7 +84,7 @@ def join_frames(
     if shape == "flat" and one_to_many:
         renamed = [F.col(f"`{c}`").alias(f"right_{c}" if c in left.columns else c) for c in right.columns]
         b = right.select(*renamed, *[c.alias(f"_r{n}") for c, n in zip(rk, names)])
-        out = a.join(b, equal(), {"full": "outer"}.get(how, how))
+        out = a.join(b, equal(), {"full": "outer", "semi": "left_semi", "anti": "left_anti"}.get(how, how))
         return (out.withColumn("matched_category", category) if category is not None else out).drop(*drop)
     whole = F.struct(*[F.col(f"`{c}`") for c in right.columns])
     keyed = right.select(whole.alias("_mr_row"), *[c.alias(f"_r{n}") for c, n in zip(rk, names)])
@@ -121,21 +122,29 @@ def mapping_join_count(cases: DataFrame, articles: DataFrame, key: str, mapping:
     return out.withColumn("matched_article_count", F.coalesce("_mr_n", F.lit(0).cast("bigint"))).drop("_mr_c", "_mr_n")
 
 
-def aggregate_rows(df: DataFrame, group_by: Sequence[str], aggregations: Sequence[Aggregation]) -> DataFrame:
-    """sum, count, avg, min, max by group; a null key is a group. Nulls are left out; sum and avg of nothing are 0,
-    min and max null. No rows give no groups, also without keys.
+def aggregate_rows(df: DataFrame, group_by: Sequence[str], aggregations: Sequence[Aggregation], grouping: str | Sequence[Sequence[str]] = "plain") -> DataFrame:
+    """sum, count, avg, min, max, count_distinct, approx_distinct (a sketch of fixed size) by group; a null key is a
+    group. Nulls are left out; sum and avg of nothing are 0, min and max null. No rows give no groups, also without keys.
+
+    `grouping` is plain, rollup, cube or a list of grouping sets; with these a column `grouping_id` tells which keys are
+    summed over (bit by bit, the last key's the lowest), since their null isn't the null of a value.
     """
     def one(a: Aggregation) -> Column:
         c = F.lit(1) if a.field == "*" else F.col(f"`{a.field}`")
         made = {
             "sum": lambda: F.coalesce(F.sum(c), F.lit(0)), "count": lambda: F.count(c), "avg": lambda: F.coalesce(F.avg(c), F.lit(0.0)),
-            "min": lambda: F.min(c), "max": lambda: F.max(c),
+            "min": lambda: F.min(c), "max": lambda: F.max(c), "count_distinct": lambda: F.count_distinct(c), "approx_distinct": lambda: F.approx_count_distinct(c),
         }
         if a.function not in made:
             raise ValueError(f"unknown function {a.function!r}")
         return made[a.function]().alias(a.alias)
 
     keys = [F.col(f"`{g}`") for g in group_by]
+    if grouping != "plain":
+        made = [one(a) for a in aggregations] + [F.grouping_id().alias("grouping_id")]
+        if isinstance(grouping, str):
+            return getattr(df, grouping)(*keys).agg(*made)
+        return df.groupingSets([[F.col(f"`{g}`") for g in x] for x in grouping], *keys).agg(*made)
     if keys:
         return df.groupBy(*keys).agg(*[one(a) for a in aggregations])
     return df.agg(*[one(a) for a in aggregations], F.count(F.lit(1)).alias("_mr_n")).filter("_mr_n > 0").drop("_mr_n")
@@ -143,12 +152,13 @@ def aggregate_rows(df: DataFrame, group_by: Sequence[str], aggregations: Sequenc
 
 def window_column(
     df: DataFrame, function: str, alias: str, partition_by: Sequence[str] = (), order_by: Sequence[str] = (), field: str | None = None,
-    descending: bool = False, offset: int = 1, frame: Sequence[int | None] | None = None, tie: str | None = None,
+    descending: bool = False, offset: int = 1, frame: Sequence[int | None] | None = None, tie: str | None = None, frame_kind: str = "rows",
 ) -> DataFrame:
     """`df` with a window column. Nulls sort first; ties keep no order unless `tie` names a column that breaks them.
 
     frame: rows before and after the current one, None for unbounded; aggregates without a frame span the partition,
-    or up to the current row if there's an order.
+    or up to the current row if there's an order. With `frame_kind` range the frame's ends are differences of the one
+    (numeric) ordering column instead of numbers of rows.
     """
     order = [F.col(f"`{c}`").desc_nulls_last() if descending else F.col(f"`{c}`").asc_nulls_first() for c in order_by]
     order += [F.col(f"`{tie}`").asc()] if tie else []
@@ -165,7 +175,7 @@ def window_column(
         made = getattr(F, function)(F.lit(1) if c is None else c)
         if frame is not None or order:
             low, high = frame if frame is not None else (None, 0)
-            w = w.rowsBetween(Window.unboundedPreceding if low is None else low, Window.unboundedFollowing if high is None else high)
+            w = (w.rangeBetween if frame_kind == "range" else w.rowsBetween)(Window.unboundedPreceding if low is None else low, Window.unboundedFollowing if high is None else high)
     else:
         raise ValueError(f"unknown function {function!r}")
     return df.withColumn(alias, made.over(w))
@@ -203,16 +213,40 @@ def union_frames(frames: dict[str, DataFrame], tag: str | None = None) -> DataFr
     return out
 
 
+def set_rows(frames: Sequence[DataFrame], kind: str, all: bool = False) -> DataFrame:
+    """distinct rows of one frame, or intersect or except of two whose columns are matched by name; nulls equal nulls.
+
+    `all` keeps numbers of rows: the smaller one (intersect), or the first's less the second's (except).
+    """
+    a, *rest = frames
+    if kind == "distinct":
+        return a.distinct()
+    errors = check_union({"first": a, "second": rest[0]})
+    if errors:
+        raise SchemaMismatchError("; ".join(errors))
+    b = rest[0].select(*[F.col(f"`{c}`") for c in a.columns])
+    made = {("intersect", False): a.intersect, ("intersect", True): a.intersectAll, ("except", False): a.subtract, ("except", True): a.exceptAll}
+    if (kind, all) not in made:
+        raise ValueError(f"unknown kind {kind!r}")
+    return made[kind, all](b)
+
+
 def source_counts(frames: dict[str, DataFrame]) -> DataFrame:
     """source, n_rows of each frame."""
     return union_frames({n: d.select(F.lit(n).alias("source")) for n, d in frames.items()}).groupBy("source").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-def duplicate_flags(df: DataFrame, source: str = "source_system", order: str | None = None, ignore: Sequence[str] = ()) -> DataFrame:
+def duplicate_flags(df: DataFrame, source: str = "source_system", order: str | None = None, ignore: Sequence[str] = (), counts: bool = False) -> DataFrame:
     """Groups of rows that agree in all columns but `source`, `order` and `ignore`: those columns, record_index (smallest
-    `order`), sources (sorted, one for each row) and n_rows. Nulls agree with nulls. No row is removed from `df`.
+    `order`), sources (sorted, one for each row), n_rows and, with `counts`, source_counts (source -> rows; null sources count in n_rows only). Nulls agree with nulls. No row is removed from `df`.
     """
     keys = [c for c in df.columns if c not in {source, order, *ignore}]
-    made = [F.array_sort(F.collect_list(F.col(f"`{source}`"))).alias("sources"), F.count(F.lit(1)).alias("n_rows")]
-    made += [F.min(F.col(f"`{order}`")).alias("record_index")] if order else []
-    return df.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(*made).filter("n_rows > 1")
+    by = [F.col(f"`{k}`") for k in keys]
+    # rows are counted by source first, so a group travels as one entry for each source, however many rows it has
+    first = [F.min(F.col(f"`{order}`")).alias("_mr_o")] if order else []
+    counted = df.groupBy(*by, F.col(f"`{source}`").alias("_mr_s")).agg(F.count(F.lit(1)).alias("_mr_n"), *first)
+    made = [F.array_sort(F.collect_list(F.when(F.col("_mr_s").isNotNull(), F.struct("_mr_s", "_mr_n")))).alias("_mr_l"), F.sum("_mr_n").alias("n_rows")]
+    made += [F.min("_mr_o").alias("record_index")] if order else []
+    out = counted.groupBy(*by).agg(*made).filter("n_rows > 1")
+    listed = F.flatten(F.transform("_mr_l", lambda x: F.array_repeat(x["_mr_s"], x["_mr_n"].cast("int"))))
+    return out.select(*by, listed.alias("sources"), "n_rows", *(["record_index"] if order else []), *([F.map_from_entries("_mr_l").alias("source_counts")] if counts else []))

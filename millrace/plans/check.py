@@ -10,10 +10,12 @@ from pyspark.sql import types as T
 
 from millrace.functions.transforms import TRANSFORMS, TransformRegistry
 from millrace.functions.types import SCHEMAS, TYPES, type_name
-from millrace.plans.ir import Aggregate, Cast, Filter, Join, Map, Pipeline, Step, Union, WindowStep
+from millrace.plans.ir import Aggregate, Cast, Filter, Join, Map, Pipeline, SetStep, Step, Union, WindowStep
 
-JOIN_TYPES = ("inner", "left", "right", "full")
-AGGREGATES = ("sum", "count", "avg", "min", "max")
+JOIN_TYPES = ("inner", "left", "right", "full", "semi", "anti")
+AGGREGATES = ("sum", "count", "avg", "min", "max", "count_distinct", "approx_distinct")
+WINDOWED = ("sum", "count", "avg", "min", "max")
+SET_KINDS = {"distinct": 1, "intersect": 2, "except": 2}
 RANKINGS = ("row_number", "rank", "dense_rank", "percent_rank", "cume_dist", "ntile")
 SHIFTS = ("lag", "lead", "first", "last")
 _SIMPLE = re.compile(r"^\s*`?([A-Za-z_][\w .]*?)`?\s*(==|!=)\s*(.*?)\s*$", re.S)
@@ -66,7 +68,7 @@ class PlanChecker:
         return out
 
     def _schema(self, step: Step, known: dict) -> T.StructType | None:
-        if isinstance(step, (Filter, Union)):
+        if isinstance(step, (Filter, Union, SetStep)):
             return known.get(step.inputs[0]) if step.inputs else None
         if isinstance(step, Map) and step.transform:
             return None if step.field is None else known.get(step.input)
@@ -101,6 +103,8 @@ class PlanChecker:
             errors += [f"join type {step.type!r} is none of {JOIN_TYPES}"] if step.type not in JOIN_TYPES else []
             errors += [] if step.on else ["no keys"]
             errors += [f"shape {step.shape!r} is neither nested nor flat"] if step.shape not in ("nested", "flat") else []
+            errors += [f"a {step.type} join has no matches to nest"] if step.type in ("semi", "anti") and step.shape == "nested" else []
+            errors += self._missing(known[step.right], [step.order_by] if step.order_by else [])
             for k in step.on:
                 errors += self._missing(known[step.left], [k.left]) + self._missing(known[step.right], [k.right])
                 a, b = known[step.left], known[step.right]
@@ -110,14 +114,21 @@ class PlanChecker:
                 warnings.append(f"{step.output}: the join hasn't been reviewed")
         elif isinstance(step, Aggregate):
             errors += [f"unknown function {a.function!r}" for a in step.aggregations if a.function not in AGGREGATES]
+            sets = step.grouping if isinstance(step.grouping, list) else []
+            errors += [f"grouping {step.grouping!r} is none of plain, rollup, cube"] if not isinstance(step.grouping, list) and step.grouping not in ("plain", "rollup", "cube") else []
+            errors += [f"grouping set {x} holds no key {k!r}" for x in sets for k in x if k not in step.group_by]
             errors += self._missing(known[step.input], [*step.group_by, *[a.field for a in step.aggregations if a.field != "*"]])
         elif isinstance(step, WindowStep):
-            if step.function not in (*RANKINGS, *SHIFTS, *AGGREGATES):
+            if step.function not in (*RANKINGS, *SHIFTS, *WINDOWED):
                 errors.append(f"unknown function {step.function!r}")
             if step.function in (*RANKINGS, *SHIFTS) and not step.order_by:
                 errors.append(f"{step.function} needs an order")
-            errors += self._missing(known[step.input], [*step.partition_by, *step.order_by, *([step.field] if step.field else [])])
-        elif isinstance(step, Union):
+            errors += [f"frame kind {step.frame_kind!r} is neither rows nor range"] if step.frame_kind not in ("rows", "range") else []
+            errors += ["a range frame needs one ordering column"] if step.frame_kind == "range" and (len(step.order_by) != 1 or step.tie) else []
+            errors += self._missing(known[step.input], [*step.partition_by, *step.order_by, *[c for c in (step.field, step.tie) if c]])
+        elif isinstance(step, SetStep) and SET_KINDS.get(step.kind) != len(step.sources):
+            errors.append(f"{step.kind!r} of {len(step.sources)} datasets; known are distinct of one, intersect and except of two")
+        elif isinstance(step, (Union, SetStep)):
             schemas = [(n, known[n]) for n in step.sources if known[n] is not None]
             for n, s in schemas[1:]:
                 if set(s.names) != set(schemas[0][1].names):

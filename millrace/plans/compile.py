@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Collection
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +11,7 @@ from millrace.control.lineage import LineageStore
 from millrace.functions.transforms import TRANSFORMS, TransformRegistry
 from millrace.operators import relational as R
 from millrace.plans.check import PlanChecker
-from millrace.plans.ir import Aggregate, Cast, Filter, Join, Map, Pipeline, Step, Union, WindowStep
+from millrace.plans.ir import Aggregate, Cast, Filter, Join, Map, Pipeline, SetStep, Step, Union, WindowStep
 from millrace.sources.connectors import CONNECTORS, ConnectorRegistry
 
 Mapper = Callable[[DataFrame], DataFrame]
@@ -45,8 +45,12 @@ class Compiler:
     def register_mapper(self, name: str, mapper: Mapper) -> None:
         self.mappers[name] = mapper
 
-    def compile(self, plan: Pipeline, frames: dict[str, DataFrame] | None = None, lineage: LineageStore | None = None) -> dict[str, DataFrame]:
-        """Every named dataset of the plan, lazily. `frames` stands in for sources of the same names."""
+    def compile(self, plan: Pipeline, frames: dict[str, DataFrame] | None = None, lineage: LineageStore | None = None, counted: Collection[str] = ()) -> dict[str, DataFrame]:
+        """Every named dataset of the plan, lazily. `frames` stands in for sources of the same names.
+
+        `counted` names nested mapped joins of whose lists only the number is wanted: they give the left columns,
+        matched_category and matched_article_count, and no list is built. Their lineage is that of the nested join.
+        """
         given = dict(frames or {})
         out = {s.name: given[s.name] if s.name in given else self.connectors.read(self.spark, s) for s in plan.sources}
         arranged = Pipeline(plan.name, plan.sources, ordered_steps(plan), plan.contract)
@@ -54,9 +58,14 @@ class Compiler:
         if not checked.ok:
             raise PlanError("; ".join(checked.errors))
         for i, step in enumerate(arranged.steps):
-            out[step.output] = self._step(step, out)
+            if step.output in counted and isinstance(step, Join) and step.shape == "nested" and step.type == "left" and len(step.on) == 1 and step.on[0].mapping is not None:
+                out[step.output] = R.mapping_join_count(out[step.left], out[step.right], step.on[0].left, step.on[0].mapping, step.on[0].right)
+                names = ["case", "matched_category", "matched_articles"]
+            else:
+                out[step.output] = self._step(step, out)
+                names = out[step.output].columns
             if lineage is not None:
-                lineage.record_step(i, step, {n: out[n].columns for n in step.inputs}, out[step.output].columns)
+                lineage.record_step(i, step, {n: out[n].columns for n in step.inputs}, names)
         return out
 
     def run(self, plan: Pipeline, frames: dict[str, DataFrame] | None = None, lineage: LineageStore | None = None) -> DataFrame:
@@ -78,11 +87,13 @@ class Compiler:
         if isinstance(s, Join):
             mapped = any(k.mapping is not None for k in s.on)
             names = ("case", "matched_articles") if mapped else ("record", "matched")
-            return R.join_frames(d[s.left], d[s.right], s.on, s.type, s.shape, s.one_to_many or mapped, s.null_safe, None, *names)
+            return R.join_frames(d[s.left], d[s.right], s.on, s.type, s.shape, s.one_to_many or mapped, s.null_safe, s.order_by, *names)
         if isinstance(s, Aggregate):
-            return R.aggregate_rows(d[s.input], s.group_by, s.aggregations)
+            return R.aggregate_rows(d[s.input], s.group_by, s.aggregations, s.grouping)
         if isinstance(s, WindowStep):
-            return R.window_column(d[s.input], s.function, s.alias, s.partition_by, s.order_by, s.field, s.descending, s.offset, s.frame)
+            return R.window_column(d[s.input], s.function, s.alias, s.partition_by, s.order_by, s.field, s.descending, s.offset, s.frame, s.tie, s.frame_kind)
         if isinstance(s, Union):
             return R.union_frames({n: d[n] for n in s.sources})
+        if isinstance(s, SetStep):
+            return R.set_rows([d[n] for n in s.sources], s.kind, s.all)
         raise PlanError(f"no such step: {s.op}")

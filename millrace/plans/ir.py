@@ -1,4 +1,4 @@
-"""The plan: seven kinds of steps over named datasets, as plain data that goes to JSON and back."""
+"""The plan: eight kinds of steps over named datasets, as plain data that goes to JSON and back."""
 
 from __future__ import annotations
 
@@ -83,6 +83,8 @@ class Join(Step):
     null_safe: bool = False
     review_status: str = "approved"
     confidence: float | None = None
+    #: Column of the right side that says which match is the first one, where only that is wanted.
+    order_by: str | None = None
     op: ClassVar[str] = "Join"
 
     @property
@@ -107,6 +109,8 @@ class Aggregate(Step):
     input: str = ""
     group_by: list[str] = made(default_factory=list)
     aggregations: list[Aggregation] = made(default_factory=list)
+    #: plain, rollup, cube, or the grouping sets as lists of keys.
+    grouping: str | list[list[str]] = "plain"
     op: ClassVar[str] = "Aggregate"
 
     def summary(self) -> str:
@@ -125,6 +129,10 @@ class WindowStep(Step):
     descending: bool = False
     offset: int = 1
     frame: list[int | None] | None = None
+    #: rows, or range (the frame's ends are then differences of the ordering column).
+    frame_kind: str = "rows"
+    #: Column that decides between rows of equal order.
+    tie: str | None = None
     op: ClassVar[str] = "Window"
 
     def summary(self) -> str:
@@ -144,7 +152,24 @@ class Union(Step):
         return f"{self.output} := UNION {', '.join(self.sources)}"
 
 
-KINDS: dict[str, type[Step]] = {c.op: c for c in (Cast, Map, Filter, Join, Aggregate, WindowStep, Union)}
+@dataclass
+class SetStep(Step):
+    """distinct (of one dataset), intersect or except (of two), of whole rows; nulls equal nulls."""
+
+    sources: list[str] = made(default_factory=list)
+    kind: str = "distinct"
+    all: bool = False
+    op: ClassVar[str] = "Set"
+
+    @property
+    def inputs(self) -> list[str]:
+        return list(self.sources)
+
+    def summary(self) -> str:
+        return f"{self.output} := {self.kind.upper()}{' ALL' * self.all} {', '.join(self.sources)}"
+
+
+KINDS: dict[str, type[Step]] = {c.op: c for c in (Cast, Map, Filter, Join, Aggregate, WindowStep, Union, SetStep)}
 
 
 def step_from_dict(data: dict[str, Any]) -> Step:

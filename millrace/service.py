@@ -22,6 +22,7 @@ from millrace.operators.relational import check_union, duplicate_flags
 from millrace.pipelines import support
 from millrace.plans.compile import Compiler
 from millrace.plans.ir import Pipeline
+from millrace.session import cut
 from millrace.sources.connectors import IngestRun, ingest_all, read_json_array
 from millrace.sources.incremental import MarkStore
 
@@ -31,7 +32,10 @@ def _rows(df: DataFrame) -> list[dict]:
 
 
 class Service:
-    """State of one installation. What runs is the plan in Main, compiled; there's no second path."""
+    """State of one installation. What runs is the plan in Main, compiled; there's no second path.
+
+    With `state_dir` plans, roles, sensitive fields, schedules, reviews, marks, alerts and logs outlive the process.
+    """
 
     def __init__(self, spark: SparkSession, plan: Pipeline | None = None, admin: str = "admin", state_dir: str | None = None, frames: dict[str, DataFrame] | None = None):
         at = (lambda name: f"{state_dir}/{name}") if state_dir else (lambda name: None)
@@ -40,12 +44,12 @@ class Service:
         for name, mapper in support.MAPPERS.items():
             self.compiler.register_mapper(name, mapper)
         self.audit = AuditLog(at("audit.jsonl"))
-        self.access = AccessControl(admin, self.audit)
-        self.columns = ColumnSecurity(self.access)
-        self.repository = PlanRepository(plan or support.support_plan())
+        self.access = AccessControl(admin, self.audit, at("roles.json"))
+        self.columns = ColumnSecurity(self.access, path=at("sensitive.json"))
+        self.repository = PlanRepository(plan or support.support_plan(), path=at("plans.json"))
         self.review = ReviewGate(at("review.json"))
         self.lineage = LineageStore()
-        self.scheduler = Scheduler()
+        self.scheduler = Scheduler(path=at("schedules.json"), build=self._scheduled)
         self.alerts = Alerts(at("alerts.json"))
         self.gate = DeployGate(at("deploy.log"))
         self.marks = MarkStore(at("marks.json"))
@@ -65,17 +69,26 @@ class Service:
 
     def _build(self) -> tuple[DataFrame, DataFrame, dict[str, DataFrame]]:
         plan = self.repository.main
-        readers = {s.name: (lambda s=s: self.frames.get(s.name) if s.name in self.frames else self.compiler.connectors.read(self.spark, s)) for s in plan.sources}
+        # an answer may be another one next time, so it's asked for once
+        fetched = lambda s: cut(self.compiler.connectors.read(self.spark, s)) if s.format in ("http", "api") else self.compiler.connectors.read(self.spark, s)
+        readers = {s.name: (lambda s=s: self.frames[s.name] if s.name in self.frames else fetched(s)) for s in plan.sources}
         self.ingested = ingest_all(readers)
         missing = [n for n in self.ingested.failed]
         if missing:
             raise RuntimeError(f"sources failed: {self.ingested.summary()['errors']}")
         self.lineage = LineageStore()
-        datasets = self.compiler.compile(plan, self.ingested.frames, self.lineage)
+        datasets = self.compiler.compile(plan, self.ingested.frames, self.lineage, counted=(plan.output,))
         out = datasets[plan.output]
-        out = support.joined_output(out) if {"case", "matched_articles"} <= set(out.columns) else out
-        valid, bad = Q.split_valid(out, get_schema(plan.contract)) if plan.contract else (out, out.limit(0))
-        return valid, bad, datasets
+        if {"case", "matched_articles"} <= set(out.columns):
+            out = support.joined_output(out)
+        elif set(support.OUTPUT) <= set(out.columns) and plan.contract == "JoinedCaseOutput":
+            out = out.select(*support.OUTPUT)
+        # evaluated once and kept: what is counted, validated, shown and written are the same rows
+        if not plan.contract:
+            kept = cut(out)
+            return kept, kept.limit(0), datasets
+        marked = cut(Q.quarantine(out, get_schema(plan.contract)))
+        return marked.filter("size(errors) = 0").drop("errors"), marked.filter("size(errors) > 0"), datasets
 
     def run_pipeline(self) -> dict:
         self.output, self.rejected, self.datasets = self._build()
@@ -97,7 +110,14 @@ class Service:
     def preview_output(self, limit: int = 10) -> list[dict]:
         return _rows(self._ran().orderBy(self._contract().key).limit(limit))
 
+    def sql(self, text: str) -> DataFrame:
+        """A query over the datasets of the last run, each a view of its name; the output is the view `output`."""
+        for name, df in {**self.datasets, "output": self._ran()}.items():
+            df.createOrReplaceTempView(name)
+        return self.spark.sql(text)
+
     def deploy(self, path: str, approved: bool, by: str, version: str | None = None, fmt: str = "json_array") -> dict:
+        """Write the validated rows; `fmt` is json_array (one file, written by the driver) or any format Spark writes."""
         self.access.require(by, "deploy", path)
         try:
             n = self.gate.deploy(self.run_id or "", self._ran(), path, approved, fmt, version, by)
@@ -248,7 +268,8 @@ class Service:
 
     # monitoring
     def monitoring_get_run_health(self) -> list[dict]:
-        return _rows(Q.run_trends(self.scheduler.frame(self.spark)))
+        runs = self.scheduler.frame(self.spark)
+        return _rows(Q.run_trends(runs).join(Q.run_histories(runs), "pipeline"))
 
     def monitoring_get_run_history(self, pipeline: str | None = None) -> list[dict]:
         return [r for r in self.scheduler_get_build_results() if pipeline in (None, r["pipeline"])]

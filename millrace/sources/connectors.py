@@ -59,7 +59,7 @@ def fetch_json(url: str, timeout: float = HTTP_TIMEOUT_S) -> list[dict]:
 class HttpJson(DataSource):
     """`spark.read.format("http_json").schema(..).option("url", ..).load()`: one GET, read by a task.
 
-    If the request fails, the file in the option `fallback` is read instead; without one that's a ConnectionError.
+    If the request fails, the rows in the option `fallback_text` are taken instead; without them that's a ConnectionError.
     An answer that is no list is a ValueError in any case.
     """
 
@@ -82,17 +82,24 @@ class _HttpReader(DataSourceReader):
         try:
             rows = fetch_json(self.options["url"], float(self.options.get("timeout", HTTP_TIMEOUT_S)))
         except OSError as problem:
-            fallback = self.options.get("fallback")
-            if not fallback:
+            if "fallback_text" not in self.options:
                 raise ConnectionError(f"{self.options['url']}: {problem}") from problem
-            rows = json.loads(Path(fallback).read_text(encoding="utf-8"))
+            rows = json.loads(self.options["fallback_text"])
         for row in rows:
             yield tuple(row.get(n) for n in self.names)
 
 
 def read_http(spark: SparkSession, source: Source) -> DataFrame:
     spark.dataSource.register(HttpJson)
-    reader = spark.read.format("http_json").option("url", source.location).options(**{k: str(v) for k, v in source.options.items()})
+    """The rows at a URL; if it can't be reached, those of the JSON file in the option `fallback`.
+
+    That file is read here, on the driver, and sent along, so no executor needs it.
+    """
+    options = {k: str(v) for k, v in source.options.items()}
+    fallback = options.pop("fallback", None)
+    if fallback and Path(fallback).exists():
+        options["fallback_text"] = Path(fallback).read_text(encoding="utf-8")
+    reader = spark.read.format("http_json").option("url", source.location).options(**options)
     return (reader.schema(_struct(source)) if source.schema_name else reader).load()
 
 
@@ -186,13 +193,12 @@ def with_position(df: DataFrame, name: str = "_ord", order_by: str | None = None
     Positions come from partition sizes and offsets inside partitions, not from one sorted task: rows are numbered
     within range partitions, and each gets the number of rows before its partition.
     """
-    if order_by is None:
-        schema = T.StructType([*df.schema.fields, T.StructField(name, T.LongType(), False)])
-        return df.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])).toDF(schema)
     # frozen first: two evaluations of a range partitioning may draw its bounds differently
     from millrace.session import cut
 
-    parted = cut(df.repartitionByRange(F.col(order_by).asc_nulls_first()).sortWithinPartitions(F.col(order_by).asc_nulls_first()).withColumns({"_mr_p": F.spark_partition_id(), "_mr_m": F.monotonically_increasing_id()}))
+    if order_by is not None:
+        df = df.repartitionByRange(F.col(order_by).asc_nulls_first()).sortWithinPartitions(F.col(order_by).asc_nulls_first())
+    parted = cut(df.withColumns({"_mr_p": F.spark_partition_id(), "_mr_m": F.monotonically_increasing_id()}))
     sizes = parted.groupBy("_mr_p").agg(F.count(F.lit(1)).alias("n"), F.min("_mr_m").alias("first"))
     before = sizes.selectExpr("_mr_p", "first", "coalesce(sum(n) over (order by _mr_p rows between unbounded preceding and 1 preceding), 0) as base")
     out = parted.join(F.broadcast(before), "_mr_p")  # one row per partition
@@ -204,15 +210,27 @@ def sample_rows(df: DataFrame, n: int = 200) -> DataFrame:
     return df.limit(n)
 
 
-def write_json_array(df: DataFrame, path: str, most: int = 1_000_000) -> int:
-    """One JSON array in one file, for outputs that fit a file; a larger one is refused, use `df.write`."""
-    rows = [r[0] for r in df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).take(most + 1)]
-    if len(rows) > most:
-        raise ValueError(f"more than {most} rows; write a distributed format instead")
+def sample_to_file(df: DataFrame, path: str, n: int = 200) -> int:
+    """The first `n` rows as a JSON array; the number of rows written."""
+    return write_json_array(sample_rows(df, n), path)
+
+
+def write_json_array(df: DataFrame, path: str) -> int:
+    """One JSON array in one file, written by the driver partition by partition; the number of rows.
+
+    For readers that want a single file. However many rows, the driver holds one partition at a time; a large output is
+    better written by all executors, with `df.write`.
+    """
     target = Path(path)
     target.parent.mkdir(parents=True, exist_ok=True)
-    target.write_text("[\n" + ",\n".join(f"  {r}" for r in rows) + "\n]\n", encoding="utf-8")
-    return len(rows)
+    n = 0
+    with target.open("w", encoding="utf-8") as out:
+        out.write("[\n")
+        for row in df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).toLocalIterator():
+            out.write((",\n  " if n else "  ") + row[0])
+            n += 1
+        out.write("\n]\n")
+    return n
 
 
 def read_json_array(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:

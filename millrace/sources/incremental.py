@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import datetime as dt
 import json
-from dataclasses import asdict, dataclass
+from collections.abc import Callable
+from dataclasses import asdict, dataclass, replace
 from pathlib import Path
 
 from pyspark.sql import DataFrame
@@ -36,16 +37,24 @@ class MarkStore:
     def get(self, source: str) -> WaterMark:
         return self.marks.get(source, WaterMark(source))
 
+    def commit(self, mark: WaterMark) -> WaterMark:
+        """Keep a mark that was read without being kept, once its rows are safe."""
+        self.marks[mark.source_name] = mark
+        self._save()
+        return mark
+
     def update(self, source: str, processed: int = 0, **marks) -> WaterMark:
         """Overwrite the marks that aren't None, add to the number of rows, and keep the result."""
-        mark = self.get(source)
+        return self.commit(self.advanced(source, processed, **marks))
+
+    def advanced(self, source: str, processed: int = 0, **marks) -> WaterMark:
+        """What `update` would keep; nothing is kept."""
+        mark = replace(self.get(source))
         for name, value in marks.items():
             if value is not None:
                 setattr(mark, name, value)
         mark.total_processed += processed
         mark.last_updated = dt.datetime.now(dt.timezone.utc).isoformat()
-        self.marks[source] = mark
-        self._save()
         return mark
 
     def reset(self, source: str | None = None) -> None:
@@ -77,27 +86,48 @@ def _advance(new: DataFrame, column: str, old):
     return n, old if top is None or top == "" else top
 
 
-def read_by_index(df: DataFrame, store: MarkStore, source: str, column: str = "_ord") -> tuple[DataFrame, WaterMark]:
-    """New rows by position. An empty load leaves the mark as it was, so the next load starts at position 0."""
+def _bounded(new: DataFrame, column: str, top, first: bool) -> DataFrame:
+    """`new` without rows beyond the mark found, which arrived since it was found and come with the next load."""
+    if top is None:
+        return new
+    c = F.col(f"`{column}`")
+    inside = c <= F.lit(top).cast(new.schema[column].dataType)
+    return new.filter(c.isNull() | inside if first else inside)
+
+
+def read_by_index(df: DataFrame, store: MarkStore, source: str, column: str = "_ord", commit: bool = True) -> tuple[DataFrame, WaterMark]:
+    """New rows by position, and the mark after them. An empty load leaves the mark as it was, so the next load starts at
+    position 0. With `commit` false the mark isn't kept; keep it by `store.commit` when the rows are written.
+    """
     old = store.get(source).last_seen_index
     new = rows_after(df, column, old)
     n, top = _advance(new, column, old)
-    return new, store.update(source, n, last_seen_index=top)
+    mark = store.advanced(source, n, last_seen_index=top)
+    return _bounded(new, column, top, old is None), store.commit(mark) if commit else mark
 
 
-def read_by_timestamp(df: DataFrame, store: MarkStore, source: str, column: str) -> tuple[DataFrame, WaterMark]:
+def read_by_timestamp(df: DataFrame, store: MarkStore, source: str, column: str, commit: bool = True) -> tuple[DataFrame, WaterMark]:
     """New rows by a time column, given as time or as text that sorts like one."""
     old = store.get(source).last_seen_timestamp
     kind = df.schema[column].dataType
     new = rows_after(df, column, old if old is None or kind.typeName() == "string" else F.lit(old).cast(kind))
     n, top = _advance(new.withColumn(column, F.col(f"`{column}`").cast("string")), column, old)
-    return new, store.update(source, n, last_seen_timestamp=top)
+    mark = store.advanced(source, n, last_seen_timestamp=top)
+    return _bounded(new, column, top, old is None), store.commit(mark) if commit else mark
 
 
-def read_by_id(df: DataFrame, store: MarkStore, source: str, column: str) -> tuple[DataFrame, WaterMark]:
+def read_by_id(df: DataFrame, store: MarkStore, source: str, column: str, commit: bool = True) -> tuple[DataFrame, WaterMark]:
     """New rows by a growing id; numbers are compared as numbers."""
     old = store.get(source).last_seen_id
     kind = df.schema[column].dataType
     new = rows_after(df, column, old if old is None or kind.typeName() == "string" else F.lit(old).cast(kind))
     n, top = _advance(new, column, old)
-    return new, store.update(source, n, last_seen_id=None if top is None else str(top))
+    mark = store.advanced(source, n, last_seen_id=None if top is None else str(top))
+    return _bounded(new, column, top, old is None), store.commit(mark) if commit else mark
+
+
+def load_new(read: Callable[..., tuple[DataFrame, WaterMark]], df: DataFrame, store: MarkStore, source: str, column: str, write: Callable[[DataFrame], None]) -> WaterMark:
+    """Write what is new by `read` (one of the three above), then keep the mark; if writing fails the mark stays."""
+    new, mark = read(df, store, source, column, commit=False)
+    write(new)
+    return store.commit(mark)
