@@ -146,7 +146,11 @@ def pretoken_starts(codes: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 def load_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
-        return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+        return _ranks(f.read())
+
+
+def _ranks(data: bytes) -> dict[bytes, int]:
+    return {base64.b64decode(a): int(b) for a, b in (line.split() for line in data.splitlines() if line.strip())}
 
 
 class PairMerger(dict):
@@ -233,8 +237,9 @@ def _parts(texts: list[str | None]) -> Iterator[tuple[int, int]]:
 
 
 @lru_cache(maxsize=2)
-def merger_for(path: str) -> PairMerger:
-    return PairMerger(load_ranks(path))
+def merger_of(data: bytes) -> PairMerger:
+    """The merger of a vocabulary file's content, kept by the process with its cache of pre-tokens."""
+    return PairMerger(_ranks(data))
 
 
 def _lists(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
@@ -249,12 +254,14 @@ def encode(
     White space alone is text and has ids. No special token is ever given: their strings are ordinary text.
     starts has the place in the text (in code points) where each pre-token starts; between two starts lies what was
     merged together. Rows keep their partition: nothing is shuffled. Rows with a null key are encoded like others.
+    The vocabulary file is read by the driver and sent to the tasks; no executor needs the folder.
     """
-    path = f"{folder}/{vocabulary}.tiktoken"
+    with open(f"{folder}/{vocabulary}.tiktoken", "rb") as f:
+        sent = documents.sparkSession.sparkContext.broadcast(f.read())  # one file of a fixed vocabulary, under a megabyte
     kind = documents.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merger = merger_for(path)
+        merger = merger_of(sent.value)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in _parts(texts):
