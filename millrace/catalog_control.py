@@ -288,17 +288,9 @@ def mark_store(spark, d):
 
 @query("SELECT least(200, count(*)) AS written, least(200, count(*)) AS read_back FROM orders")
 def sample_to_file(spark, d):
-    import os
-    import tempfile
-
-    path = os.path.join(tempfile.mkdtemp(prefix="millrace-"), "sample.json")  # a driver's file: the sample is small by definition
+    path = _work(spark, f"sample-{uuid.uuid4().hex}").removeprefix("file:") + "/sample.json"
     n = C.sample_to_file(t(spark, d, "orders").select("o_orderkey", "o_orderstatus"), path)
-    with open(path, encoding="utf-8") as f:
-        import json
-
-        back = len(json.load(f))
-    os.remove(path)
-    return spark.createDataFrame([(n, back)], "written bigint, read_back bigint")
+    return C.read_json_array(spark, path).agg(F.lit(n).cast("bigint").alias("written"), F.count(F.lit(1)).alias("read_back"))
 
 
 @query(f"SELECT pipeline, string_agg(event_id || ':' || \"rows\", ',' ORDER BY \"at\", event_id) AS record_counts, count(*)::INTEGER AS n FROM {_RUNS} GROUP BY 1")
@@ -570,9 +562,7 @@ def field_visibility(spark, d):
 @query("SELECT 'audit' AS log, 'r_' || r_regionkey AS resource FROM region UNION ALL SELECT 'deploy', r_name FROM region")
 def append_only_logs(spark, d):
     """Audit events as JSON lines and deployments as text lines, appended and read back by Spark."""
-    import tempfile
-
-    folder = tempfile.mkdtemp(prefix="millrace-logs-")  # the service's own log files, on the driver
+    folder = _work(spark, f"logs-{uuid.uuid4().hex}").removeprefix("file:")
     regions = [(r.r_regionkey, r.r_name) for r in t(spark, d, "region").collect()]
     audit = S.AuditLog(f"{folder}/audit.jsonl")
     gate = OP.DeployGate(f"{folder}/deploy.log")

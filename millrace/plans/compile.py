@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Collection
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,7 +63,10 @@ class Compiler:
                 out[step.output] = R.mapping_join_count(out[step.left], out[step.right], step.on[0].left, step.on[0].mapping, step.on[0].right)
                 names = ["case", "matched_category", "matched_articles"]
             else:
-                out[step.output] = self._step(step, out)
+                try:
+                    out[step.output] = self._step(step, out)
+                except AnalysisException as problem:  # a condition or a type that only the analyzer can judge
+                    raise PlanError(f"step {i} ({step.op}): {problem}") from problem
                 names = out[step.output].columns
             if lineage is not None:
                 lineage.record_step(i, step, {n: out[n].columns for n in step.inputs}, names)

@@ -119,6 +119,18 @@ class ConnectorRegistry:
             raise ValueError(f"no connector for {source.format!r}; known are {self.names()}")
         return self._known[source.format](spark, source)
 
+    def stream(self, spark: SparkSession, source: Source) -> DataFrame:
+        """The source as a stream: new files of a folder (its schema is needed), or what arrives in kafka or another
+        streaming format, whose options say where. `rate` and the like need no location.
+        """
+        if source.format in ("http", "api", "jdbc"):
+            raise ValueError(f"{source.format!r} can't be read as a stream")
+        options = {"multiLine": True, **source.options} if source.format == "json" else source.options
+        reader = spark.readStream.format(source.format).options(**options)
+        if source.schema_name:
+            reader = reader.schema(_struct(source))
+        return reader.load(source.location) if source.location else reader.load()
+
 
 CONNECTORS = ConnectorRegistry()
 

@@ -238,6 +238,26 @@ def test_streams_of_windows_and_sessions(spark, tmp_path):
     assert sorted((r.started_at, r.n_events) for r in sessions) == [(start, 3), (start + dt.timedelta(minutes=70), 2), (start + dt.timedelta(minutes=200), 1)]
 
 
+def test_sources_as_streams(spark, tmp_path):
+    rows = "case_id string, subject string, ticket_type string, matched_category string, matched_article_count bigint, source_system string"
+    path = str(tmp_path / "in")
+    spark.createDataFrame([("1", "s", None, None, 0, "x")], rows).write.parquet(path)
+    source = Source("cases", "parquet", path, "JoinedCaseOutput")
+    out, marks = str(tmp_path / "out"), str(tmp_path / "marks")
+    for n in (1, 2):
+        C.CONNECTORS.stream(spark, source).writeStream.format("parquet").option("path", out).option("checkpointLocation", marks).trigger(availableNow=True).start().awaitTermination()
+        assert spark.read.parquet(out).count() == n
+        spark.createDataFrame([("2", "s", None, None, 0, "x")], rows).write.mode("append").parquet(path)
+    assert C.CONNECTORS.stream(spark, Source("r", "rate", "", options={"rowsPerSecond": 5})).isStreaming
+    with pytest.raises(ValueError):
+        C.CONNECTORS.stream(spark, Source("h", "http", "http://x"))
+
+
+def test_a_bad_condition_names_its_step(spark):
+    with pytest.raises(PlanError, match=r"step 1 \(Filter\)"):
+        Compiler(spark).compile(Pipeline("p", [Source("a", "given", "")], [Filter("f", "a", "n > 0"), Filter("g", "f", "zzz > 0")]), {"a": spark.createDataFrame([(1,)], "n int")})
+
+
 def test_positions_without_an_order(spark, tmp_path):
     df = spark.range(0, 500, 1, 6)
     assert sorted((r.id, r._ord) for r in C.with_position(df).collect()) == [(i, i) for i in range(500)]
