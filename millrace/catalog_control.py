@@ -300,9 +300,9 @@ def run_histories(spark, d):
     return h.select("pipeline", F.array_join(text, ",").alias("record_counts"), F.size("duration_history").alias("n"))
 
 
-@query("SELECT 'run_' || lpad((row_number() OVER (ORDER BY event_id))::VARCHAR, 4, '0') AS run_id, event_id FROM events WHERE event_type = 'error' AND user_id = 1")
+@query("SELECT 'run_' || CASE WHEN n < 10000 THEN lpad(n::VARCHAR, 4, '0') ELSE n::VARCHAR END AS run_id, event_id FROM (SELECT event_id, row_number() OVER (ORDER BY event_id) AS n FROM events)")
 def run_numbers(spark, d):
-    return Q.numbered_runs(t(spark, d, "events").filter("event_type = 'error' AND user_id = 1").select("event_id"), "event_id")
+    return Q.numbered_runs(t(spark, d, "events").select("event_id"), "event_id")
 
 
 @query("SELECT event_id FROM events WHERE minute(ts) % 15 = 0 AND hour(ts) BETWEEN 9 AND 17 AND dayofweek(ts) BETWEEN 1 AND 5")
@@ -584,10 +584,10 @@ def audit_filtered(spark, d):
     return R.aggregate_rows(R.filter_rows(R.filter_rows(t(spark, d, "security_audit_log"), "success == 'false'"), "action IS NOT NULL"), ["action"], [Aggregation("count", "*", "n")])
 
 
-@query("SELECT s_suppkey, 'POINT (' || (s_suppkey / 2.0)::VARCHAR || ' 0.5)' AS centre, s_suppkey >= 5 AS meets FROM supplier WHERE s_suppkey > 0")
+@query("SELECT s_suppkey, 'POINT (' || ((s_suppkey + 1) / 2.0)::VARCHAR || ' 0.5)' AS centre, s_suppkey >= 4 AS meets FROM supplier")
 def geometry_centroid_intersects(spark, d):
-    s = t(spark, d, "supplier").filter("s_suppkey > 0")
-    w = F.col("s_suppkey").cast("double").cast("string")
+    s = t(spark, d, "supplier")
+    w = (F.col("s_suppkey") + 1).cast("double").cast("string")
     box = F.concat(F.lit("POLYGON ((0 0, "), w, F.lit(" 0, "), w, F.lit(" 1, 0 1, 0 0))"))
     return s.select("s_suppkey", X.wkt_centroid(box).alias("centre"), X.wkt_intersects(box, F.lit("POINT (5 1)")).alias("meets"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -215,8 +215,10 @@ def duration_seconds(start: Column, end: Column) -> Column:
 
 
 def numbered_runs(runs: DataFrame, order: str) -> DataFrame:
-    """`runs` with run_id `run_0001`, .. in the order of `order`. A run history is small; it's numbered in one place."""
-    return runs.withColumn("run_id", F.format_string("run_%04d", F.row_number().over(Window.orderBy(order))))
+    """`runs` with run_id `run_0001`, .. in the order of `order`, numbered within range partitions."""
+    from millrace.sources.connectors import with_position
+
+    return with_position(runs, "_mr_n", order).withColumn("run_id", F.format_string("run_%04d", F.col("_mr_n") + 1)).drop("_mr_n")
 
 
 def parse_deploy_log(lines: DataFrame, column: str = "value") -> DataFrame:
