@@ -8,11 +8,11 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from millrace import catalog_core, catalog_data
+from millrace import catalog_control, catalog_core, catalog_data
 
 DATA = Path("/root/testdata/sf0.001")
-QUERIES = catalog_core.QUERIES | catalog_data.QUERIES
-ORACLES = catalog_core.ORACLES | catalog_data.ORACLES
+QUERIES = catalog_core.QUERIES | catalog_control.QUERIES | catalog_data.QUERIES
+ORACLES = catalog_core.ORACLES | catalog_control.ORACLES | catalog_data.ORACLES
 
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="no test tables here")
 
